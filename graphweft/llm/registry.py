@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, packing, sharding, token_counts
+from . import byte_bpe, common, embeddings, packing, sharding, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, limit=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    found = embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), least_cosine=0.93)
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts, "op2_kd_sharding": op2_kd_sharding, "op3_best_fit_packing": op3_best_fit_packing, "op6_byte_bpe": op6_byte_bpe}
+    return {"op1_token_counts": op1_token_counts, "op2_kd_sharding": op2_kd_sharding, "op3_best_fit_packing": op3_best_fit_packing, "op6_byte_bpe": op6_byte_bpe, "op8_simhash": op8_simhash, "op9_embedding_dedup": op9_embedding_dedup}
 
 
 def oracle_sql() -> dict:
