@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, embeddings, packing, sharding, simhash, token_counts
+from . import byte_bpe, common, embeddings, language, packing, sharding, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, mod n; -1 for a null doc_id, so that it is neither held out nor learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language.fit(docs, _remainder(5) > 0)
+    found = language.predict(docs, profiles, ["doc_id"])
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of all documents, as digests."""
     docs = _table(spark, sf_dir, "documents")
@@ -52,8 +65,16 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~_remainder(4).isin(-1, 2))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts, "op2_kd_sharding": op2_kd_sharding, "op3_best_fit_packing": op3_best_fit_packing, "op6_byte_bpe": op6_byte_bpe, "op8_simhash": op8_simhash, "op9_embedding_dedup": op9_embedding_dedup}
+    return {"op1_token_counts": op1_token_counts, "op2_kd_sharding": op2_kd_sharding, "op3_best_fit_packing": op3_best_fit_packing, "op4_language_id": op4_language_id, "op6_byte_bpe": op6_byte_bpe, "op8_simhash": op8_simhash, "op9_embedding_dedup": op9_embedding_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
