@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +62,10 @@ class Profiles:
     products: np.ndarray
 
     def vector(self, text: str) -> np.ndarray:
-        """The bundle of a text's known grams."""
+        """The bundle of a text's known grams, each as often as the root of its count, so that no passage that repeats outweighs the rest."""
         codes, counts = np.unique(grams(text), return_counts=True)
         known = np.isin(codes, self.codes)
-        return counts[known] @ gram_vectors(codes[known]).astype(np.float64) if known.any() else np.zeros(DIMENSIONS)
+        return np.sqrt(counts[known]) @ gram_vectors(codes[known]).astype(np.float64) if known.any() else np.zeros(DIMENSIONS)
 
 
 def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text") -> Profiles | None:
@@ -112,7 +114,7 @@ def scorer(profiles: Profiles | None):
 
     The product of a text's bundle with a prototype is the sum of its grams' products, so the order of the languages
     by cosine is that of the vectors themselves. The bundle's length, the same for all languages, is taken as
-    sqrt(DIMENSIONS * sum of squared counts), which it is for orthogonal gram vectors, as random ones nearly are.
+    sqrt(DIMENSIONS * sum of squared weights), which it is for orthogonal gram vectors, as random ones nearly are.
     """
     if profiles is None:
         return lambda text: ("und", 0.0)
@@ -123,7 +125,7 @@ def scorer(profiles: Profiles | None):
         codes = grams(text or "")
         if not len(codes):
             return "und", 0.0
-        n = np.bincount(place[codes], minlength=len(profiles.codes) + 1)[:-1].astype(np.float32)
+        n = np.sqrt(np.bincount(place[codes], minlength=len(profiles.codes) + 1)[:-1].astype(np.float32))
         length = np.sqrt(DIMENSIONS * float(n @ n))
         cosine = (n @ profiles.products) / length if length else np.zeros(len(profiles.languages))
         best = int(np.argmax(cosine))
@@ -145,3 +147,18 @@ def predict(docs: DataFrame, profiles: Profiles | None, keep: list[str], text: s
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, profiles: Profiles | None, least_score: float = 0.02, text: str = "text") -> DataFrame:
+    """The rows of docs whose text has a language: not `und`, and at least least_score. All columns stay as they are; only
+    the text goes to Python, and only a flag comes back."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    @F.pandas_udf("boolean")
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = scorer(shared.value)
+        for batch in texts:
+            found = [score(x) for x in batch]
+            yield pd.Series([name != "und" and value >= least_score for name, value in found], dtype=bool)
+
+    return docs.where(known(F.col(text)))

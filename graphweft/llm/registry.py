@@ -8,7 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, embeddings, language, packing, sharding, simhash, token_counts, toxicity
+from . import byte_bpe, common, embeddings, language, packing, quality, sharding, simhash, surrogates, token_counts, toxicity
+
+
+#: A text's measurements and verdict, in DuckDB's SQL.
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+windows AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM words WHERE len(w) >= 3),
+counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM windows),
+covered AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS at FROM counted WHERE n > 1),
+repeated AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+measured AS (
+  SELECT words.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words,
+         len(lines) AS n_lines, len(regexp_extract_all(t, '[A-Z\x{00C0}-\x{00DE}]')) AS n_upper,
+         len(regexp_extract_all(t, '[!?]')) AS n_marks, len(list_distinct(w)) AS n_distinct
+  FROM words LEFT JOIN repeated ON words.doc_id = repeated.doc_id
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
+            OR (n_dup_lines >= 2 AND 10 * n_dup_lines > 3 * n_lines)
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_upper > word_chars
+            OR 2 * n_marks > n_words OR (n_words >= 50 AND 10 * n_distinct < n_words)) AS kept
+FROM measured
+"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,17 +64,32 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
 
-def _remainder(n: int):
+def remainder(n: int):
     """crc32 of doc_id as text, mod n; -1 for a null doc_id, so that it is neither held out nor learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of surrogates: graphweft.pii.key of the session, which a deployment sets to a secret of its own."""
+    return spark.conf.get("graphweft.pii.key", "not-a-secret")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    profiles = language.fit(docs, _remainder(5) > 0)
+    profiles = language.fit(docs, remainder(5) > 0)
     found = language.predict(docs, profiles, ["doc_id"])
-    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of all documents under the newest policy."""
+    rows = quality.verdicts(quality.ledger(_table(spark, sf_dir, "documents")), max(quality.POLICIES))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (F.col("failed").bitwiseAND(F.lit(quality.BASE)) != 0).alias("base_failed"),
+        F.col("kept_by_policy").alias("kept"),
+    )
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +98,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates in place of personal data, and how many."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, pii_key(spark), count="n_entities")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, limit=4)
@@ -68,14 +119,17 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from labelled rows that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~_remainder(4).isin(-1, 2))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~remainder(4).isin(-1, 2))
     scored = toxicity.score(docs, model, ["doc_id"])
-    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts, "op2_kd_sharding": op2_kd_sharding, "op3_best_fit_packing": op3_best_fit_packing, "op4_language_id": op4_language_id, "op6_byte_bpe": op6_byte_bpe, "op8_simhash": op8_simhash, "op9_embedding_dedup": op9_embedding_dedup, "op10_toxicity": op10_toxicity}
+    return {
+        f.__name__: f
+        for f in (op1_token_counts, op2_kd_sharding, op3_best_fit_packing, op4_language_id, op5_quality_rules, op6_byte_bpe, op7_pii_surrogates, op8_simhash, op9_embedding_dedup, op10_toxicity)
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_quality_rules": OP5_SQL}

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -240,4 +242,18 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, score double")
 
 
-__all__ = ["Lexicon", "Model", "Transducer", "fit", "score", "terms"]
+def below(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of docs that score under the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.weights, model.weights, model.bias))
+
+    @F.pandas_udf("double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights, beta, bias = shared.value
+        own = Model(Lexicon(weights), beta, bias)
+        for batch in texts:
+            yield pd.Series([own.score(x) for x in batch], dtype=float)
+
+    return docs.where(scored(F.col(text)) < threshold)
+
+
+__all__ = ["Lexicon", "Model", "Transducer", "below", "fit", "score", "terms"]
