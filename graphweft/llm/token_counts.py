@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
+import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,10 @@ from pyspark.sql import functions as F
 RUN = 1 << 18
 #: So many characters go to the library in one call.
 CALL = 1 << 19
+#: Characters on whose case, classes and composed forms all versions of Unicode agree.
+UNSETTLED = re.compile(r"[^\x20-\x7e\t\n\r¡-ɏ]")
+#: Word counts remembered by a worker, and the longest word remembered.
+MEMO, LONGEST = 1 << 19, 40
 
 
 def tokenizer_version(path: str) -> str:
@@ -30,20 +37,81 @@ def normalised(text):
     return F.regexp_replace(lower, r"[ \t\n\r]+", " ")
 
 
+def _words(spec: dict):
+    """Text to the pieces that the tokenizer encodes one by one, where it composes, takes white space as one, lower-cases
+    and keeps only the matches of one pattern; else None. Holds for texts without UNSETTLED characters or special strings."""
+    import regex
+
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+        return None
+    split, byte_level = cuts
+    if split["behavior"] != "Removed" or not split["invert"] or byte_level["use_regex"] or byte_level["add_prefix_space"]:
+        return None
+    pattern = regex.compile(split["pattern"]["Regex"])
+    return lambda text: pattern.findall(text.lower())
+
+
 @functools.lru_cache(4)
 def _load(path: str):
+    """A function from texts to their counts. Where the tokenizer works word by word, the library encodes each different
+    word of a worker once and counts are added up; other texts go through the library whole."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], False
+        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], True
+
+    def whole(texts: list[str]) -> list[int]:
+        return [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    words, special = _words(spec), [x["content"] for x in spec["added_tokens"]]
+    if words is None:
+        return whole
+    memo: dict[str, int] = {}
+    suffix = spec["model"].get("end_of_word_suffix")
+    last = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+    if suffix:
+        last[[i for word, i in spec["model"]["vocab"].items() if word.endswith(suffix)]] = True
+
+    def apart(new: list[str]) -> list[int]:
+        """Counts of words, encoded together with blanks between them; each word's last token shows its end."""
+        out = []
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
+            ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.int64)
+            ends = np.flatnonzero(last[ids]) + 1 if len(ids) and ids.max() < len(last) else ids[:0]
+            out += np.diff(ends, prepend=0).tolist() if len(ends) == len(part) and ends[-1] == len(ids) else whole(part)
+        return out
+
+    def counts(texts: list[str]) -> list[int]:
+        plain = [not UNSETTLED.search(x) and not any(y in x for y in special) for x in texts]
+        cut = [words(x) if ok else [] for x, ok in zip(texts, plain)]
+        new = {w for ws in cut for w in ws if w not in memo}
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = {w for ws in cut for w in ws}
+        new = list(new)
+        memo.update(zip(new, apart(new)))
+        out = [sum(map(memo.__getitem__, ws)) for ws in cut]
+        for w in new:
+            if len(w) > LONGEST:
+                del memo[w]
+        rest = [i for i, ok in enumerate(plain) if not ok]
+        for i, n in zip(rest, whole([texts[i] for i in rest]) if rest else []):
+            out[i] = n
+        return out
+
+    return counts
 
 
 def _runs(text: str) -> list[str]:
@@ -61,7 +129,7 @@ def _runs(text: str) -> list[str]:
 
 
 def _counts(texts: list[str], path: str, cut: bool) -> list[int]:
-    encode, _ = _load(path)
+    encode = _load(path)
     out, call, owner, size = [0] * len(texts), [], [], 0
 
     def flush():
