@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: A text of more characters is encoded in runs of about so many, cut before white space.
 RUN = 1 << 18
 #: So many characters go to the library in one call.
@@ -186,6 +188,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     missing = docs.select(norm.alias("norm")).withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256))).dropDuplicates(["digest"]).join(known, "digest", "left_anti")
     fresh = missing.select("digest", "norm").mapInArrow(_encoder(tokenizer, lower_and_blank), "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache)
-    known = cached_counts(spark, cache).where(F.col("tokenizer") == version).select(F.col("digest").alias("__digest"), F.col("n_tokens").alias("__n")).dropDuplicates(["__digest"])
+    # stored once more without repeats, so that the join below reads it plainly and a hot digest's rows can be split
+    known = stored(cached_counts(spark, cache).where(F.col("tokenizer") == version).select(F.col("digest").alias("__digest"), F.col("n_tokens").alias("__n")).dropDuplicates(["__digest"]), "token-counts")
     rest = [c for c in docs.columns if c != "n_tokens"]
     return docs.select(*rest, digest.alias("__key")).join(known, F.col("__key") == F.col("__digest"), "left").select(*rest, F.col("__n").alias("n_tokens"))
