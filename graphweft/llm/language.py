@@ -71,9 +71,10 @@ class Profiles:
 def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text") -> Profiles | None:
     """Profiles from all rows where `train` holds and lang is not null; None without such rows with letters.
 
-    Grams are counted over all those rows; what reaches the driver is at most SYMBOLS^3 counts a language. Each
-    language's bundle has a gram's vector as often as its share of the language's grams, less the mean share in all
-    languages, so that what languages have in common doesn't make them alike.
+    Grams are counted over all those rows; what reaches the driver is at most SYMBOLS^3 numbers a language. Each document
+    adds the root of each gram's count, so that no repeated word outweighs the rest. A language's bundle has a gram's
+    vector as often as its share of what the language's documents add, less the mean share in all languages, so that
+    what languages have in common doesn't make them alike.
     """
 
     def count(batches):
@@ -83,17 +84,15 @@ def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text")
                 codes = grams(x.as_py() or "")
                 if len(codes):
                     if name not in held:
-                        held[name] = np.zeros(SYMBOLS**3, dtype=np.int64)
-                    if len(codes) < 20_000:
-                        np.add.at(held[name], codes, 1)
-                    else:
-                        held[name] += np.bincount(codes, minlength=SYMBOLS**3)
+                        held[name] = np.zeros(SYMBOLS**3)
+                    seen, n = np.unique(codes, return_counts=True)
+                    held[name][seen] += np.sqrt(n)
         for name, n in held.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.float64())], names=["lang", "code", "n"])
 
     rows = docs.where(train & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    table = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    table = rows.mapInArrow(count, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     if not len(table):
         return None
     languages, codes = sorted(table["lang"].unique()), np.sort(table["code"].unique()).astype(np.int64)

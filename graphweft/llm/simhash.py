@@ -162,8 +162,8 @@ def _linker(keys: list, limit: int):
 
 
 def links(classes: DataFrame, limit: int = 4, segments_of: tuple[int, int] | None = None) -> DataFrame:
-    """(a, b): pairs of different fingerprints of `classes` (fp long, no two alike) with at most `limit` differing bits
-    each, enough of them to connect all that such pairs connect.
+    """(a, b): pairs of fingerprints of `classes` (fp long, no two alike) that connect just what pairs with at most `limit`
+    differing bits connect. Inside a bucket each fingerprint is paired with the first that such pairs lead to.
 
     Each fingerprint goes to a bucket for each key of chain_keys(); a bucket's members are compared with each other,
     by the budgets of the chain's prefixes and then by all bits. A bucket of over BLOCK members is dealt out in blocks,
