@@ -2,10 +2,477 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars
+from .operators import centrality, community, paths, structure, text, traversal
+from .plans import ir
+from .plans.parser import parse
+from .plans.run import execute
+from .sources import store
+from .sources.stages import shared_dir
+from .sources.tables import edge_list, key, star_schema
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+HIGH = 1 << 40
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _match(name: str, match: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, folder: star_schema(spark, folder).query(match)
+    SQL[name] = sql
+
+
+# -- the language --------------------------------------------------------------------------------------------------
+
+_match(
+    "match_customers_of_nation",
+    'MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE n.n_name = "NATION_7" RETURN c.c_name AS customer, n.n_name AS nation',
+    "SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7'",
+)
+_match(
+    "match_two_hops_out",
+    "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE c.c_acctbal > 5000 RETURN c.c_name AS customer, r.r_name AS region",
+    "SELECT c_name AS customer, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 5000",
+)
+_match(
+    "match_expand_in",
+    "MATCH (n:Nation)<-[:IN_NATION]-(s:Supplier) WHERE s.s_acctbal < 1000 RETURN n.n_name AS nation, s.s_name AS supplier",
+    "SELECT n_name AS nation, s_name AS supplier FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal < 1000",
+)
+_match(
+    "match_undirected",
+    "MATCH (r:Region)-[:IN_REGION]-(n:Nation) RETURN r.r_name AS region, n.n_name AS nation",
+    "SELECT r_name AS region, n_name AS nation FROM region JOIN nation ON n_regionkey = r_regionkey",
+)
+_match(
+    "match_homomorphism",
+    'MATCH (a:Nation)-[:IN_REGION]->(r:Region)<-[:IN_REGION]-(b:Nation) WHERE r.r_name <> "x" RETURN a.n_name AS a, b.n_name AS b',
+    "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey",
+)
+_match(
+    "match_edge_property",
+    'MATCH (o:Order)-[l:CONTAINS]->(p:Part) WHERE l.l_quantity >= 49 AND l.l_returnflag = "R" RETURN o.o_totalprice AS total, p.p_name AS part, l.l_discount AS discount',
+    "SELECT o_totalprice AS total, p_name AS part, l_discount AS discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49 AND l_returnflag = 'R'",
+)
+_match(
+    "match_three_hops",
+    'MATCH (s:Supplier)-[:SUPPLIES]->(p:Part)<-[:CONTAINS]-(o:Order)<-[:PLACED]-(c:Customer) WHERE s.s_name = "Supplier#000000001" AND o.o_orderpriority = "1-URGENT" RETURN c.c_name AS customer, p.p_name AS part',
+    "SELECT c_name AS customer, p_name AS part FROM supplier JOIN lineitem a ON a.l_suppkey = s_suppkey JOIN part ON a.l_partkey = p_partkey JOIN lineitem b ON b.l_partkey = p_partkey JOIN orders ON b.l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_name = 'Supplier#000000001' AND o_orderpriority = '1-URGENT'",
+)
+_match(
+    "match_product",
+    "MATCH (r:Region), (n:Nation) WHERE n.n_name <> r.r_name AND n.n_name > \"NATION_5\" RETURN r.r_name AS region, n.n_name AS nation",
+    "SELECT r_name AS region, n_name AS nation FROM region, nation WHERE n_name <> r_name AND n_name > 'NATION_5'",
+)
+_match(
+    "match_product_equal",
+    "MATCH (p:Part), (n:Nation) WHERE p.p_size = n.gone OR p.p_size > 48 AND n.n_name = \"NATION_1\" RETURN p.p_name AS part, n.n_name AS nation",
+    "SELECT p_name AS part, n_name AS nation FROM part, nation WHERE p_size > 48 AND n_name = 'NATION_1'",
+)
+_match(
+    "match_inline_properties",
+    'MATCH (c:Customer {c_mktsegment: "BUILDING"})-[:IN_NATION]->(n:Nation {n_name: "NATION_3"}) RETURN c.c_name AS customer',
+    "SELECT c_name AS customer FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND n_name = 'NATION_3'",
+)
+_match(
+    "match_three_valued_logic",
+    'MATCH (p:Part) WHERE NOT (p.p_size < 25 OR p.gone = 1) OR p.p_size = 7 AND NOT p.p_brand = 7 RETURN p.p_name AS part, p.p_size AS size, p.gone AS gone',
+    "SELECT p_name AS part, p_size::BIGINT AS size, NULL::VARCHAR AS gone FROM part WHERE p_size = 7",
+)
+_match(
+    "match_identity",
+    "MATCH (a:Nation)-[:IN_REGION]->(r:Region)<-[:IN_REGION]-(b:Nation) WHERE a = b RETURN a.n_name AS nation, r.r_name AS region",
+    "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
+)
+_match(
+    "match_literals_and_names",
+    "MATCH (r:Region) RETURN r.r_name, 1 AS one, 2.5 AS half, TRUE AS yes, r.r_name > \"A\" AS after",
+    "SELECT r_name AS \"r.r_name\", 1::BIGINT AS one, 2.5::DOUBLE AS half, TRUE AS yes, r_name > 'A' AS after FROM region",
+)
+_match(
+    "match_unlabelled",
+    'MATCH (x)-[:IN_NATION]->(n:Nation) WHERE n.n_name = "NATION_2" RETURN x.c_name AS customer, x.s_name AS supplier',
+    "SELECT c_name AS customer, NULL::VARCHAR AS supplier FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_2' UNION ALL SELECT NULL, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_2'",
+)
+
+
+@_query("SELECT DISTINCT c_mktsegment AS segment, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def match_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    g = star_schema(spark, folder)
+    return execute(g, ir.Distinct(ir.lower(parse("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN c.c_mktsegment AS segment, n.n_name AS nation"))))
+
+
+@_query("SELECT 5::BIGINT AS rows")
+def match_limit(spark: SparkSession, folder: str) -> DataFrame:
+    limited = execute(star_schema(spark, folder), ir.Limit(ir.lower(parse("MATCH (c:Customer) RETURN c.c_name AS customer")), 5))
+    return limited.agg(F.count("*").alias("rows"))
+
+
+@_query()
+def match_whole_elements(spark: SparkSession, folder: str) -> DataFrame:
+    return star_schema(spark, folder).query("MATCH (n:Nation)-[e:IN_REGION]->(r:Region) RETURN n, e, r")
+
+
+@_query("SELECT n_name AS name FROM nation WHERE n_nationkey IN (3, 5, 8)")
+def index_seek(spark: SparkSession, folder: str) -> DataFrame:
+    ids = [(5 - 3) * HIGH + k for k in (3, 5, 8)]
+    return star_schema(spark, folder).nodes("Nation", ["n_name"]).where(F.col("id").isin(ids)).select(F.col("p_n_name").alias("name"))
+
+
+@_query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey BETWEEN 100 AND 300")
+def range_scan(spark: SparkSession, folder: str) -> DataFrame:
+    g = star_schema(spark, folder)
+    lo, hi = 6 * HIGH + 100, 6 * HIGH + 300
+    return g.nodes("Order").where(F.col("id").between(lo, hi)).orderBy("id").select((F.col("id") - 6 * HIGH).alias("id"))
+
+
+@_query(
+    """SELECT 'label' AS what, 'Customer' AS name, count(*)::DOUBLE AS value FROM customer UNION ALL SELECT 'label', 'Nation', count(*) FROM nation
+    UNION ALL SELECT 'type', 'IN_NATION', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'type', 'CONTAINS', count(*) FROM lineitem
+    UNION ALL SELECT 'out', 'Customer', round(((SELECT count(*) FROM customer) + (SELECT count(*) FROM orders)) / (SELECT count(*) FROM customer), 6)
+    UNION ALL SELECT 'in', 'Nation', round(((SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)) / (SELECT count(*) FROM nation), 6)"""
+)
+def catalog_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    c = star_schema(spark, folder).catalog()
+    rows = [("label", x, float(c.label_count(x))) for x in ("Customer", "Nation")] + [("type", x, float(c.types[x])) for x in ("IN_NATION", "CONTAINS")]
+    rows += [("out", "Customer", round(c.avg_degree("Customer", "out"), 6)), ("in", "Nation", round(c.avg_degree("Nation", "in"), 6))]
+    return spark.createDataFrame(rows, "what string, name string, value double")
+
+
+# -- algorithms ----------------------------------------------------------------------------------------------------
+
+TREE_SQL = f"""tree AS (
+  SELECT {2 * HIGH} + n_nationkey AS src, {HIGH} + n_regionkey AS dst FROM nation
+  UNION ALL SELECT {3 * HIGH} + c_custkey, {2 * HIGH} + c_nationkey FROM customer
+  UNION ALL SELECT {4 * HIGH} + s_suppkey, {2 * HIGH} + s_nationkey FROM supplier),
+links AS (SELECT src, dst FROM tree UNION ALL SELECT dst, src FROM tree),
+ids AS (SELECT DISTINCT src AS id FROM links)"""
+PAIRS_SQL = """pairs AS (
+  SELECT 2 * o_custkey AS src, 2 * l_suppkey + 1 AS dst, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+ids AS (SELECT DISTINCT id FROM (SELECT src AS id FROM pairs UNION ALL SELECT dst FROM pairs)),
+n AS (SELECT count(*) AS n FROM ids)"""
+
+
+def _tree(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of regions, their nations, and the customers and suppliers there."""
+    t = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    parts = [
+        t("nation").select(key("Nation", "n_nationkey").alias("src"), key("Region", "n_regionkey").alias("dst")),
+        t("customer").select(key("Customer", "c_custkey").alias("src"), key("Nation", "c_nationkey").alias("dst")),
+        t("supplier").select(key("Supplier", "s_suppkey").alias("src"), key("Nation", "s_nationkey").alias("dst")),
+    ]
+    e = reduce(DataFrame.unionByName, parts).select(F.col("src").alias("eid"), "src", "dst", F.lit(1.0).alias("w"))
+    return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct(), e
+
+
+def _both(e: DataFrame) -> DataFrame:
+    return e.unionByName(structure.transpose(e).select(*e.columns))
+
+
+def _pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    e = edge_list(spark, folder)
+    return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct(), e
+
+
+def _small(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The nations and regions of the tree."""
+    _, e = _tree(spark, folder)
+    e = e.where(F.col("src") < 3 * HIGH)
+    return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct(), e
+
+
+BFS_SQL = f"""WITH RECURSIVE {TREE_SQL}, walk(id, level) AS (SELECT {HIGH}::BIGINT, 0 UNION SELECT links.dst, level + 1 FROM walk JOIN links ON walk.id = links.src WHERE level < 5)"""
+
+
+@_query(f"{BFS_SQL} SELECT id AS node, min(level)::INT AS level FROM walk GROUP BY id")
+def bfs_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return traversal.bfs(_tree(spark, folder)[1], HIGH, "both")[0]
+
+
+@_query(f"{BFS_SQL} SELECT id AS node, min(level)::INT AS level FROM walk WHERE level <= 1 GROUP BY id")
+def bfs_depth_budget(spark: SparkSession, folder: str) -> DataFrame:
+    return traversal.bfs(_tree(spark, folder)[1], HIGH, "both", traversal.Budget(depth=1))[0]
+
+
+@_query(f"{BFS_SQL} SELECT id AS node, min(level)::DOUBLE AS dist FROM walk GROUP BY id")
+def dijkstra_hops(spark: SparkSession, folder: str) -> DataFrame:
+    return paths.dijkstra(_both(_tree(spark, folder)[1]), HIGH).select("node", "dist")
+
+
+@_query(f"{BFS_SQL} SELECT id AS node, min(level)::DOUBLE AS dist FROM walk GROUP BY id")
+def bellman_ford_hops(spark: SparkSession, folder: str) -> DataFrame:
+    return paths.bellman_ford(_both(_tree(spark, folder)[1]), HIGH).select("node", "dist")
+
+
+SMALL_SQL = f"""small AS (SELECT * FROM links WHERE src < {3 * HIGH} AND dst < {3 * HIGH}),
+far(src, dst, d) AS (SELECT DISTINCT src, src, 0 FROM small UNION SELECT far.src, small.dst, d + 1 FROM far JOIN small ON far.dst = small.src WHERE d < 3),
+near AS (SELECT src, dst, min(d)::DOUBLE AS dist FROM far GROUP BY ALL)"""
+
+
+@_query(f"WITH RECURSIVE {TREE_SQL}, {SMALL_SQL} SELECT * FROM near")
+def all_pairs_distances(spark: SparkSession, folder: str) -> DataFrame:
+    return paths.all_pairs(_both(_small(spark, folder)[1]))
+
+
+@_query()
+def a_star_path(spark: SparkSession, folder: str) -> DataFrame:
+    return paths.a_star(_both(_tree(spark, folder)[1]), HIGH, 2 * HIGH)
+
+
+@_query(f"WITH {PAIRS_SQL} SELECT ids.id, round(coalesce(d, 0) / (n - 1), 9) AS score FROM ids CROSS JOIN n LEFT JOIN (SELECT src AS id, count(*) AS d FROM pairs GROUP BY src) USING (id)")
+def degree_centrality(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _pairs(spark, folder)
+    return centrality.degree(v, e).rows.select("id", F.round("score", 9).alias("score"))
+
+
+def _page_rank_sql(rounds: int) -> str:
+    parts = [f"WITH {PAIRS_SQL}, deg AS (SELECT src, count(*) AS d FROM pairs GROUP BY src), r0 AS (SELECT id, 1.0::DOUBLE / n AS s FROM ids, n)"]
+    for k in range(rounds):
+        parts.append(
+            f"""d{k} AS (SELECT coalesce(sum(s), 0) AS m FROM r{k} WHERE id NOT IN (SELECT src FROM deg)),
+            i{k} AS (SELECT dst AS id, sum(s / d) AS x FROM pairs JOIN deg USING (src) JOIN r{k} ON r{k}.id = src GROUP BY dst),
+            r{k + 1} AS (SELECT ids.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(x, 0) + m / n) AS s FROM ids CROSS JOIN n CROSS JOIN d{k} LEFT JOIN i{k} ON i{k}.id = ids.id)"""
+        )
+    return ", ".join(parts) + f" SELECT id, round(s, 10) AS score FROM r{rounds}"
+
+
+@_query(_page_rank_sql(4))
+def page_rank_four_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _pairs(spark, folder)
+    return centrality.page_rank(v, e, rounds=4, tolerance=1e-300).rows.select("id", F.round("score", 10).alias("score"))
+
+
+@_query()
+def personalised_page_rank(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _pairs(spark, folder)
+    return centrality.page_rank(v, _both(e), rounds=8, seeds={3: 1.0, 5: 2.0}).rows
+
+
+@_query(f"WITH RECURSIVE {TREE_SQL}, {SMALL_SQL}, n AS (SELECT count(DISTINCT src) AS n FROM small) SELECT src AS id, round((count(*) - 1) / (n - 1) * (count(*) - 1) / sum(dist), 9) AS score FROM near, n GROUP BY src, n")
+def closeness_centrality(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _small(spark, folder)
+    return centrality.closeness(v, e, "both").rows.select("id", F.round("score", 9).alias("score"))
+
+
+@_query()
+def betweenness_centrality(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _small(spark, folder)
+    return centrality.betweenness(v, e, "both").rows
+
+
+@_query()
+def eigenvector_centrality(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _pairs(spark, folder)
+    return centrality.eigenvector(v, _both(e), rounds=6).rows
+
+
+@_query(f"WITH RECURSIVE {TREE_SQL}, walk(id, root) AS (SELECT DISTINCT dst, dst FROM links WHERE dst < {2 * HIGH} UNION SELECT links.dst, root FROM walk JOIN links ON walk.id = links.src) SELECT id, min(root) AS component FROM walk GROUP BY id")
+def connected_components(spark: SparkSession, folder: str) -> DataFrame:
+    return community.components(*_tree(spark, folder))
+
+
+@_query(
+    f"""WITH {PAIRS_SQL}, own AS (SELECT id, id % 7 AS c FROM ids), m AS (SELECT sum(w) AS m FROM pairs),
+    ends AS (SELECT a.c AS ca, b.c AS cb, w FROM pairs JOIN own a ON a.id = src JOIN own b ON b.id = dst),
+    tot AS (SELECT c, sum(w) AS t FROM (SELECT ca AS c, w FROM ends UNION ALL SELECT cb, w FROM ends) GROUP BY c),
+    inn AS (SELECT ca AS c, sum(w) AS i FROM ends WHERE ca = cb GROUP BY ca)
+    SELECT round(sum(coalesce(i, 0) / m - (t / (2 * m)) ^ 2), 9) AS q FROM tot LEFT JOIN inn USING (c) CROSS JOIN m"""
+)
+def modularity(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _pairs(spark, folder)
+    q = community.modularity(v, e, v.select("id", (F.col("id") % 7).alias("community")))
+    return spark.createDataFrame([(round(q, 9),)], "q double")
+
+
+@_query()
+def label_propagation(spark: SparkSession, folder: str) -> DataFrame:
+    return community.label_propagation(*_tree(spark, folder), rounds=10)
+
+
+@_query()
+def louvain(spark: SparkSession, folder: str) -> DataFrame:
+    return community.louvain(*_tree(spark, folder))
+
+
+@_query(
+    "SELECT 'nodes' AS what, count(*)::BIGINT AS value FROM (SELECT n_nationkey FROM nation UNION ALL SELECT r_regionkey FROM region) UNION ALL SELECT 'edges', count(*) FROM nation UNION ALL SELECT 'edges_scanned', count(*) FROM nation UNION ALL SELECT 'discarded', 0"
+)
+def projection_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    p = traversal.project(star_schema(spark, folder), labels=["Nation", "Region"], types=["IN_REGION"])
+    return spark.createDataFrame(list(p.stats.items()), "what string, value long")
+
+
+@_query(f"WITH {PAIRS_SQL} SELECT count(*)::BIGINT - 1 AS edges FROM ids")
+def spanning_forest_size(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.spanning_forest(*_pairs(spark, folder)).agg(F.count("*").alias("edges"))
+
+
+@_query(f"WITH {TREE_SQL} SELECT id, CASE WHEN id >= {3 * HIGH} OR id NOT IN (SELECT dst FROM tree) THEN 0 WHEN id >= {2 * HIGH} THEN 1 ELSE 2 END::INT AS level FROM ids")
+def topological_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.topological_levels(*_tree(spark, folder))[0]
+
+
+@_query(f"WITH {TREE_SQL} SELECT id, id AS component FROM ids")
+def strong_components(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.strong_components(*_tree(spark, folder))
+
+
+@_query(f"WITH {TREE_SQL} SELECT id, CASE WHEN id < {2 * HIGH} OR id >= {3 * HIGH} THEN 0 ELSE 1 END::INT AS side FROM ids")
+def bipartite_sides(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.bipartite(*_tree(spark, folder))
+
+
+@_query(f"WITH RECURSIVE {TREE_SQL}, up(id, root) AS (SELECT id, id FROM ids UNION ALL SELECT up.id, tree.dst FROM up JOIN tree ON tree.src = up.root) SELECT root AS id, count(*)::BIGINT AS size FROM up WHERE root IN (SELECT id FROM up WHERE root = {HIGH}) GROUP BY root")
+def subtree_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.subtree_sizes(_tree(spark, folder)[1], HIGH)
+
+
+@_query(f"WITH {TREE_SQL} SELECT {3 * HIGH}::BIGINT + min(c_custkey) AS id, 0.0::DOUBLE AS dist FROM customer UNION ALL SELECT {2 * HIGH} + c_nationkey, 1 FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer) UNION ALL SELECT {HIGH} + n_regionkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = (SELECT min(c_custkey) FROM customer)")
+def dag_longest_distances(spark: SparkSession, folder: str) -> DataFrame:
+    first = spark.read.parquet(f"{folder}/customer.parquet").agg(F.min("c_custkey")).first()[0]
+    return structure.dag_distances(*_tree(spark, folder), 3 * HIGH + first, longest=True)
+
+
+@_query()
+def largest_matching(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.matching(*_pairs(spark, folder))
+
+
+@_query()
+def graph_colouring(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.colouring(*_tree(spark, folder), "dsatur")
+
+
+@_query()
+def vertex_cover(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.vertex_cover(*_tree(spark, folder))
+
+
+@_query()
+def max_flow(spark: SparkSession, folder: str) -> DataFrame:
+    _, e = _pairs(spark, folder)
+    ends = e.where("src = 2 or dst = 3 or (src < 200 and dst < 200)")
+    return structure.max_flow(_both(ends).select("src", "dst", F.col("w").alias("cap")), 2, 3)
+
+
+@_query()
+def min_cost_flow(spark: SparkSession, folder: str) -> DataFrame:
+    _, e = _small(spark, folder)
+    return structure.min_cost_flow(_both(e).select("src", "dst", F.col("w").alias("cap"), (F.col("src") % 5 + 1).cast("double").alias("cost")), 2 * HIGH, HIGH)
+
+
+@_query()
+def karger_cut(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.karger_cut(_small(spark, folder)[1], 50, 1)
+
+
+@_query("SELECT FALSE AS k5, FALSE AS k33")
+def small_subgraphs(spark: SparkSession, folder: str) -> DataFrame:
+    _, e = _tree(spark, folder)
+    return spark.createDataFrame([(structure.has_k5(e), structure.has_k33(e.where(F.col("src") < 3 * HIGH)))], "k5 boolean, k33 boolean")
+
+
+@_query()
+def gcn_forward(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _small(spark, folder)
+    x = v.select("id", F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("x"))
+    return structure.gcn(x, e, [(np.array([[0.5, -0.25], [0.1, 0.3]]), np.array([0.1, 0.0])), (np.array([[1.0], [-1.0]]), np.array([0.2]))])
+
+
+# -- text and scalars ----------------------------------------------------------------------------------------------
+
+WORDS = [(0, "the "), (1, "tion"), (2, "ing"), (3, "idiot"), (4, "ción")]
+
+
+@_query(" UNION ALL ".join(f"SELECT doc_id, {i}::INT AS pid, ((length(text) - length(replace(text, '{w}', ''))) / {len(w)})::BIGINT AS n FROM documents WHERE contains(text, '{w}')" for i, w in WORDS))
+def find_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    return text.find_patterns(docs, WORDS, "doc_id").groupBy("doc_id", "pid").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT c_name FROM customer WHERE starts_with(c_name, 'Customer#00000001')")
+def prefix_search(spark: SparkSession, folder: str) -> DataFrame:
+    return text.with_prefix(spark.read.parquet(f"{folder}/customer.parquet").select("c_name"), "Customer#00000001", "c_name")
+
+
+@_query("SELECT n_nationkey, (row_number() OVER (PARTITION BY n_nationkey ORDER BY substr(n_name, i::INT) COLLATE \"C\") - 1)::INT AS rank, (i - 1)::INT AS start FROM nation, generate_series(1, 20) AS g(i) WHERE i <= length(n_name)")
+def suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return text.suffix_array(spark.read.parquet(f"{folder}/nation.parquet"), "n_nationkey", "n_name").select("n_nationkey", "rank", "start")
+
+
+@_query()
+def scalar_functions(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.col("c_name")
+    return spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", scalars.crc32(c).alias("crc32"), scalars.fnv1a_64(c).alias("fnv1a"), scalars.hex_bytes(c.cast("binary")).alias("hex"))
+
+
+# -- the store -----------------------------------------------------------------------------------------------------
+
+
+def _stored_nations(spark: SparkSession, folder: str) -> tuple[store.VersionedStore, int]:
+    """Nations and regions as a first commit; a second takes nation 3 away and renames nation 4."""
+    g = star_schema(spark, folder)
+    s = store.VersionedStore(spark, f"{shared_dir(spark)}/graphweft-store-{uuid.uuid4().hex}")
+    v = g.nodes("Nation", whole=True).unionByName(g.nodes("Region", whole=True))
+    first = s.load(v, g.edges("IN_REGION", whole=True))
+    tx = s.begin(overwrite=True)
+    tx.stage(store.delete_node(2 * HIGH + 3), store.put_node(2 * HIGH + 4, ["Nation"], n_name="RENAMED"))
+    tx.commit()
+    return s, first
+
+
+@_query("SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def snapshot_before(spark: SparkSession, folder: str) -> DataFrame:
+    s, first = _stored_nations(spark, folder)
+    return s.snapshot(first).query("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS name, r.r_name AS region")
+
+
+@_query("SELECT CASE WHEN n_nationkey = 4 THEN 'RENAMED' ELSE n_name END AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 3")
+def snapshot_after(spark: SparkSession, folder: str) -> DataFrame:
+    s, _ = _stored_nations(spark, folder)
+    return s.snapshot().query("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS name, r.r_name AS region")
+
+
+@_query("SELECT count(*)::BIGINT - 1 AS nations FROM nation")
+def gc_keeps_the_present(spark: SparkSession, folder: str) -> DataFrame:
+    s, _ = _stored_nations(spark, folder)
+    s.gc(s.now)
+    return s.snapshot().nodes("Nation").agg(F.count("*").alias("nations"))
+
+
+@_query("SELECT n_nationkey AS id FROM nation WHERE n_nationkey <> 3")
+def replay_log(spark: SparkSession, folder: str) -> DataFrame:
+    s, _ = _stored_nations(spark, folder)
+    ops = s.log().withColumn("lsn", F.col("ts") * 1_000_000 + F.col("lsn")).drop("ts")
+    ends = ops.groupBy("tx_id").agg(F.max("lsn").alias("lsn")).select((F.col("lsn") + 1).alias("lsn"), "tx_id", F.lit("COMMIT").alias("kind"), F.lit(None).cast(store.NODE).alias("node"), F.lit(None).cast(store.EDGE).alias("edge"), F.lit(None).cast("long").alias("target_id"))
+    empty = store.PropertyGraph.from_frames(spark.createDataFrame([], store.NODES), spark.createDataFrame([], store.EDGES))
+    return store.replay(ops.select(*ends.columns).unionByName(ends), empty).nodes("Nation").select((F.col("id") - 2 * HIGH).alias("id"))
+
+
+@_query("SELECT NULL::VARCHAR AS issue, NULL::BIGINT AS id WHERE FALSE")
+def integrity_check(spark: SparkSession, folder: str) -> DataFrame:
+    return store.check(star_schema(spark, folder))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)

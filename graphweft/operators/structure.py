@@ -84,7 +84,7 @@ def dag_distances(nodes: DataFrame, edges: DataFrame, start: int, longest: bool
         if frontier.isEmpty():
             break
         dist = stored(dist.join(frontier, "id", "left_anti").unionByName(frontier), "dag-distances")
-    return dist.select("id", (sign * F.col("dist")).alias("dist"))
+    return dist.select("id", (sign * F.col("dist") + 0.0).alias("dist"))
 
 
 def longest_path_by_nodes(nodes: DataFrame, edges: DataFrame, start: int) -> int | None:

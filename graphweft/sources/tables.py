@@ -39,16 +39,17 @@ def key(kind: str, column: str):
 
 def star_schema(spark: SparkSession, folder: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, parts, orders and documents, and how they hang together. Edge ids are the
-    source's key where there is one; order lines have none, so queries must not return theirs."""
+    source's key below a code of the edge type where there is one; order lines have none, so queries must not return theirs."""
     t = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
 
     def node(label, table, column, props):
         return NodeSource(label, t(table).withColumn("__id", key(label, column)), "__id", {p: p for p in props})
 
-    def edge(kind, df, src, dst, own, props=()):
-        cols = {"__src": key(*src), "__dst": key(*dst)} | ({"__eid": own} if own is not None else {})
-        return EdgeSource(kind, df.withColumns(cols), "__src", "__dst", "__eid" if own is not None else None, {p: p for p in props})
+    def edge(kind, df, src, dst, eid, props=()):
+        cols = {"__src": key(*src), "__dst": key(*dst)} | ({"__eid": eid} if eid is not None else {})
+        return EdgeSource(kind, df.withColumns(cols), "__src", "__dst", "__eid" if eid is not None else None, {p: p for p in props})
 
+    own = lambda code, column: F.lit(code << 40) + F.col(column).cast("long")
     line = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     return PropertyGraph(
         spark,
@@ -62,10 +63,10 @@ def star_schema(spark: SparkSession, folder: str) -> PropertyGraph:
             node("Document", "documents", "doc_id", ["lang", "source", "n_chars", "text"]),
         ],
         [
-            edge("IN_REGION", t("nation"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"), F.col("n_nationkey").cast("long")),
-            edge("IN_NATION", t("customer"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"), F.col("c_custkey")),
-            edge("IN_NATION", t("supplier"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), F.col("s_suppkey") + (1 << 40)),
-            edge("PLACED", t("orders"), ("Customer", "o_custkey"), ("Order", "o_orderkey"), F.col("o_orderkey")),
+            edge("IN_REGION", t("nation"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"), own(1, "n_nationkey")),
+            edge("IN_NATION", t("customer"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"), own(2, "c_custkey")),
+            edge("IN_NATION", t("supplier"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), own(3, "s_suppkey")),
+            edge("PLACED", t("orders"), ("Customer", "o_custkey"), ("Order", "o_orderkey"), own(4, "o_orderkey")),
             edge("CONTAINS", t("lineitem"), ("Order", "l_orderkey"), ("Part", "l_partkey"), None, line),
             edge("SUPPLIES", t("lineitem"), ("Supplier", "l_suppkey"), ("Part", "l_partkey"), None, ["l_quantity"]),
         ],
