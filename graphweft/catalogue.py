@@ -150,7 +150,7 @@ def range_scan(spark: SparkSession, folder: str) -> DataFrame:
 )
 def catalog_statistics(spark: SparkSession, folder: str) -> DataFrame:
     c = star_schema(spark, folder).catalog()
-    rows = [("label", x, float(c.label_count(x))) for x in ("Customer", "Nation")] + [("type", x, float(c.types[x])) for x in ("IN_NATION", "CONTAINS")]
+    rows = [("label", x, float(c.label_count(x))) for x in ("Customer", "Nation")] + [("type", x, float(c.type_count(x))) for x in ("IN_NATION", "CONTAINS")]
     rows += [("out", "Customer", round(c.avg_degree("Customer", "out"), 6)), ("in", "Nation", round(c.avg_degree("Nation", "in"), 6))]
     return spark.createDataFrame(rows, "what string, name string, value double")
 

@@ -72,7 +72,8 @@ class NodeSource:
 
 @dataclass(frozen=True)
 class EdgeSource:
-    """Edges of one type (or, with type None, of the types in column `type`)."""
+    """Edges of one type (or, with type None, of the types in column `type`). src_label, dst_label: the label that all
+    ends have, where there is one."""
 
     type: str | None
     df: DataFrame
@@ -81,6 +82,8 @@ class EdgeSource:
     id: str | None = "id"
     props: dict[str, str] = field(default_factory=dict)
     schemaless: str | None = None
+    src_label: str | None = None
+    dst_label: str | None = None
 
 
 class PropertyGraph:

@@ -40,14 +40,19 @@ def key(kind: str, column: str):
 def star_schema(spark: SparkSession, folder: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, parts, orders and documents, and how they hang together. Edge ids are the
     source's key below a code of the edge type where there is one; order lines have none, so queries must not return theirs."""
-    t = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    tables: dict[str, DataFrame] = {}
+
+    def t(name):
+        if name not in tables:
+            tables[name] = spark.read.parquet(f"{folder}/{name}.parquet")
+        return tables[name]
 
     def node(label, table, column, props):
         return NodeSource(label, t(table).withColumn("__id", key(label, column)), "__id", {p: p for p in props})
 
     def edge(kind, df, src, dst, eid, props=()):
         cols = {"__src": key(*src), "__dst": key(*dst)} | ({"__eid": eid} if eid is not None else {})
-        return EdgeSource(kind, df.withColumns(cols), "__src", "__dst", "__eid" if eid is not None else None, {p: p for p in props})
+        return EdgeSource(kind, df.withColumns(cols), "__src", "__dst", "__eid" if eid is not None else None, {p: p for p in props}, None, src[0], dst[0])
 
     own = lambda code, column: F.lit(code << 40) + F.col(column).cast("long")
     line = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
