@@ -60,8 +60,9 @@ def ordered(df: DataFrame, name: str, order: list[str], group: str, sums: dict[s
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each end of an edge (a, b) can reach. Large-star and small-star
     rounds over tables in the shared folder until the edges no longer change; every step keeps at most one row for
-    an edge, minima are combined before each shuffle, and a node of any degree never meets in one task. Nulls and
-    loops are left out; nodes without an edge don't appear."""
+    an edge, and minima are combined before each shuffle. Minima are written before edges are joined to them: both sides
+    of the join are then plain shuffles, so AQE splits the rows of a hub among tasks. Nulls and loops are left out;
+    nodes without an edge don't appear."""
     kind = edges.schema["a"].dataType
     now = stored(
         edges.where("a is not null and b is not null and a <> b")
@@ -72,10 +73,10 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.where("a <> b").distinct(), f"{name}-large")
+        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-down")
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         now = stored(small.where("a <> b").distinct(), name)
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
