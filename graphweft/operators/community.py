@@ -15,14 +15,15 @@ from ..sources.stages import stored
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, component): the smallest id that a node is connected with. Large-star and small-star rounds: each keeps the
     number of edges, minima are combined before each shuffle, and the number of rounds is about the logarithm of the
-    longest way."""
+    longest way. Minima are written before edges are joined to them: both sides are then plain shuffles, in which AQE
+    splits the rows of a hub."""
     now = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "components")
     seen = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "components-least")
+        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "components-large")
+        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), "components-down")
         pairs = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         now = stored(large.join(down, "a").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct(), "components")
         mark = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
