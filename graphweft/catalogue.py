@@ -9,14 +9,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scalars
-from .operators import centrality, community, paths, structure, text, traversal
+from .functions import kernels, scalars
+from .operators import centrality, community, neighbourhood, paths, structure, text, traversal
 from .plans import ir
 from .plans.parser import parse
 from .plans.run import execute
 from .sources import store
 from .sources.stages import shared_dir
-from .sources.tables import edge_list, key, star_schema
+from .sources.tables import edge_list, graph_from_files, key, star_schema
+from .streaming.ingest import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -395,6 +396,201 @@ def gcn_forward(spark: SparkSession, folder: str) -> DataFrame:
     return structure.gcn(x, e, [(np.array([[0.5, -0.25], [0.1, 0.3]]), np.array([0.1, 0.0])), (np.array([[1.0], [-1.0]]), np.array([0.2]))])
 
 
+# -- structure, orders and neighbourhoods --------------------------------------------------------------------------
+
+LEAST_CUSTOMER = f"(SELECT {3 * HIGH} + min(c_custkey) FROM customer)"
+
+
+def _least_customer(spark: SparkSession, folder: str) -> int:
+    return 3 * HIGH + spark.read.parquet(f"{folder}/customer.parquet").agg(F.min("c_custkey")).first()[0]
+
+
+@_query(f"WITH {PAIRS_SQL} SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM pairs WHERE src <> dst")
+def simple_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.simple(_both(_pairs(spark, folder)[1]))
+
+
+@_query(f"WITH {TREE_SQL} SELECT dst AS src, src AS dst FROM tree")
+def transposed_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.transpose(_tree(spark, folder)[1]).select("src", "dst")
+
+
+@_query(f"WITH RECURSIVE {TREE_SQL}, walk(id) AS (SELECT {HIGH}::BIGINT UNION SELECT links.dst FROM walk JOIN links ON walk.id = links.src) SELECT src, dst FROM tree WHERE dst IN (SELECT id FROM walk)")
+def spanning_tree_of_region(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.spanning_tree(*_tree(spark, folder), HIGH).select("src", "dst")
+
+
+@_query(f"WITH {TREE_SQL} SELECT src, dst FROM tree UNION ALL SELECT dst, src FROM tree")
+def edges_outside_the_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Each edge of the tree three times over, less a forest: two of three stay."""
+    v, e = _tree(spark, folder)
+    again = lambda k, df: df.withColumn("eid", 4 * F.col("eid") + k)
+    thrice = again(0, e).unionByName(again(1, e)).unionByName(again(2, structure.transpose(e).select(*e.columns)))
+    return neighbourhood.redundant_edges(thrice, structure.spanning_forest(v, thrice)).select("src", "dst")
+
+
+@_query(f"WITH {TREE_SQL} SELECT id FROM ids WHERE id < {3 * HIGH}")
+def left_over_by_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """What no topological order can place: nations and regions that lead to each other."""
+    v, e = _tree(spark, folder)
+    back = structure.transpose(e.where(F.col("src") < 3 * HIGH)).select(*e.columns)
+    return structure.topological_levels(v, e.unionByName(back))[1].select("id")
+
+
+@_query(f"SELECT id % {HIGH} + 2 * (n_nationkey + 1) + 3 * (n_regionkey + 1) AS longest FROM (SELECT {LEAST_CUSTOMER} AS id) JOIN customer ON c_custkey = id - {3 * HIGH} JOIN nation ON c_nationkey = n_nationkey")
+def longest_way_by_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _tree(spark, folder)
+    low = F.col("id") % HIGH
+    weight = F.when(F.col("id") < 2 * HIGH, 3 * (low + 1)).when(F.col("id") < 3 * HIGH, 2 * (low + 1)).otherwise(low).cast("double")
+    return spark.createDataFrame([(structure.longest_path_by_nodes(v.withColumn("w", weight), e, _least_customer(spark, folder)),)], "longest long")
+
+
+_VISITS = f"SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS place, id FROM (SELECT {HIGH}::BIGINT AS id UNION ALL SELECT {2 * HIGH} + n_nationkey FROM nation WHERE n_regionkey = 0)"
+
+
+@_query(_VISITS)
+def breadth_first_order(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.visit_order(_both(_small(spark, folder)[1]), HIGH)
+
+
+@_query(_VISITS)
+def depth_first_order(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.visit_order(_both(_small(spark, folder)[1]), HIGH, depth_first=True)
+
+
+@_query()
+def depth_first_topological(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.dfs_topological(*_small(spark, folder))
+
+
+@_query()
+def edge_colouring(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.edge_colouring(*_tree(spark, folder))
+
+
+@_query()
+def random_independent_set(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.independent_set(*_small(spark, folder), seed=3)
+
+
+@_query(f"SELECT 1.0::DOUBLE AS size, {HIGH}::BIGINT AS node")
+def vertex_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """The region is all that two of its nations have in common."""
+    _, e = _small(spark, folder)
+    a, b = [r["src"] for r in e.where(F.col("dst") == HIGH).orderBy("src").limit(2).collect()]
+    return structure.vertex_cut(e, a, b, undirected=True).select("size", F.explode("nodes").alias("node"))
+
+
+@_query("SELECT i - 1 AS a, j - 1 AS b FROM generate_series(1, 6) AS x(i), generate_series(1, 6) AS y(j) WHERE i < j")
+def complete_graph(spark: SparkSession, folder: str) -> DataFrame:
+    e = structure.simple(structure.complete(spark, 6))
+    return e.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"))
+
+
+@_query("SELECT 0 AS place, 0.0::DOUBLE AS value UNION ALL SELECT i::INT, 5.0 FROM generate_series(1, 4) AS g(i)")
+def laplacian_spectrum(spark: SparkSession, folder: str) -> DataFrame:
+    values = structure.spectrum(structure.laplacian(5, [(a, b) for a in range(5) for b in range(a)]))
+    return spark.createDataFrame([(i, abs(round(float(x), 9))) for i, x in enumerate(values)], "place int, value double")
+
+
+@_query("SELECT 4.0::DOUBLE AS tour, 8::BIGINT AS steps, TRUE AS waits_in_a_ring")
+def small_searches(spark: SparkSession, folder: str) -> DataFrame:
+    """A tour of a square's corners, a way around a wall of a grid, and a deadlock."""
+    square = [[0 if a == b else 1 if (a - b) % 2 else 2 for b in range(4)] for a in range(4)]
+    way = kernels.grid_a_star((0, 0), (4, 0), {(2, y) for y in range(-1, 2)})
+    row = (float(kernels.held_karp(square)[0]), len(way) - 1, kernels.detect_cycle({1: [2], 2: [3], 3: [1]}) is not None)
+    return spark.createDataFrame([row], "tour double, steps long, waits_in_a_ring boolean")
+
+
+_NEAR = f"near AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs)), f AS (SELECT dst AS mid FROM near WHERE src = 3)"
+
+
+@_query(f"WITH {PAIRS_SQL}, {_NEAR} SELECT dst AS id, count(*)::BIGINT AS shared FROM near JOIN f ON src = mid WHERE dst <> 3 AND dst NOT IN (SELECT mid FROM f) GROUP BY dst")
+def friends_of_friends(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbourhood.friends_of_friends(_pairs(spark, folder)[1], 3)
+
+
+@_query(f"WITH {PAIRS_SQL}, {_NEAR} SELECT mid AS id FROM f JOIN near ON dst = mid WHERE src = 5")
+def common_friends(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbourhood.common_friends(_pairs(spark, folder)[1], 3, 5)
+
+
+@_query(f"WITH {TREE_SQL} SELECT 'bridge' AS kind, dst AS a, src AS b FROM tree UNION ALL SELECT 'point', src, NULL FROM links GROUP BY src HAVING count(*) > 1")
+def weak_points(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbourhood.weak_points(*_tree(spark, folder))
+
+
+@_query(f"WITH {TREE_SQL} SELECT src AS id FROM tree WHERE dst = {2 * HIGH + 7}")
+def exists_next(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _tree(spark, folder)
+    return neighbourhood.exists_next(e, v.where(F.col("id") == 2 * HIGH + 7))
+
+
+@_query(f"WITH RECURSIVE {TREE_SQL}, up(id) AS (SELECT {HIGH}::BIGINT UNION SELECT src FROM up JOIN tree ON dst = up.id) SELECT id FROM up")
+def exists_finally(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _tree(spark, folder)
+    return neighbourhood.exists_finally(e, v.where(F.col("id") == HIGH))
+
+
+@_query(f"WITH {TREE_SQL} SELECT id FROM ids WHERE id >= {2 * HIGH} AND id NOT IN (SELECT {2 * HIGH} + n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier))")
+def exists_globally(spark: SparkSession, folder: str) -> DataFrame:
+    """Between nations and those who live there one can go back and forth for ever; the regions don't count."""
+    v, e = _tree(spark, folder)
+    return neighbourhood.exists_globally(_both(e), v.where(F.col("id") >= 2 * HIGH))
+
+
+@_query(f"WITH RECURSIVE {TREE_SQL}, up(id) AS (SELECT {HIGH}::BIGINT UNION SELECT src FROM up JOIN tree ON dst = up.id) SELECT id FROM ids WHERE id NOT IN (SELECT id FROM up)")
+def always_globally(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _tree(spark, folder)
+    return neighbourhood.always_globally(v, e, v.where(F.col("id") != HIGH))
+
+
+@_query("SELECT c_custkey IS NOT NULL AS up, FALSE AS down FROM customer ORDER BY c_custkey LIMIT 1")
+def path_exists(spark: SparkSession, folder: str) -> DataFrame:
+    _, e = _tree(spark, folder)
+    a = _least_customer(spark, folder)
+    nation = e.where(F.col("src") == a).first()["dst"]
+    top = e.where(F.col("src") == nation).first()["dst"]
+    return spark.createDataFrame([(neighbourhood.path_exists(e, a, top), neighbourhood.path_exists(e, top, a))], "up boolean, down boolean")
+
+
+@_query(f"WITH {PAIRS_SQL} SELECT ids.id, round(coalesce(d, 0) / (n - 1), 9) AS score FROM ids CROSS JOIN n LEFT JOIN (SELECT src AS id, count(*) AS d FROM pairs GROUP BY src) USING (id) ORDER BY score DESC, id LIMIT 10")
+def degree_top_ten(spark: SparkSession, folder: str) -> DataFrame:
+    v, e = _pairs(spark, folder)
+    return centrality.degree(v, e).top(10).select("id", F.round("score", 9).alias("score"))
+
+
+@_query(f"WITH RECURSIVE {TREE_SQL}, walk(id, root) AS (SELECT DISTINCT dst, dst FROM links WHERE dst < {2 * HIGH} UNION SELECT links.dst, root FROM walk JOIN links ON walk.id = links.src), own AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS community FROM walk) SELECT community::BIGINT AS community, count(*)::BIGINT AS size FROM own GROUP BY ALL")
+def component_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    own = community.components(*_tree(spark, folder)).withColumnRenamed("component", "community")
+    return community.sizes(community.dense(own)).select(F.col("community").cast("long").alias("community"), F.col("size").cast("long").alias("size"))
+
+
+@_query(f"SELECT {2 * HIGH} + n_nationkey AS id, 1::BIGINT AS degree FROM nation UNION ALL SELECT {HIGH} + r_regionkey, 0 FROM region")
+def projected_degrees(spark: SparkSession, folder: str) -> DataFrame:
+    return traversal.project(star_schema(spark, folder), labels=["Nation", "Region"], types=["IN_REGION"]).out_degrees()
+
+
+@_query(f"SELECT id, ((row_number() OVER (ORDER BY id) - 1) // 7)::BIGINT AS block FROM (SELECT {2 * HIGH} + n_nationkey AS id FROM nation UNION ALL SELECT {HIGH} + r_regionkey FROM region)")
+def projected_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return traversal.project(star_schema(spark, folder), labels=["Nation", "Region"], types=["IN_REGION"]).blocks(7)
+
+
+@_query("SELECT NULL::BIGINT AS eid WHERE FALSE")
+def consistent_heuristic(spark: SparkSession, folder: str) -> DataFrame:
+    """Hops to a region never fall by more than one along an edge, so no edge breaks the rule."""
+    v, e = _tree(spark, folder)
+    hops = F.floor(F.col("id") / HIGH - 1).cast("double")
+    bad = paths.check_consistency(e, v.withColumn("h", F.least(hops, F.lit(2.0))), "h")
+    return spark.createDataFrame([(bad[0],)] if bad else [], "eid long")
+
+
+@_query("SELECT l_orderkey AS \"order\", l_partkey AS part FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey = 7")
+def in_edges_of_a_part(spark: SparkSession, folder: str) -> DataFrame:
+    e = star_schema(spark, folder).in_edges(5 * HIGH + 7).where("type = 'CONTAINS'")
+    return e.select((F.col("src") - 6 * HIGH).alias("order"), (F.col("dst") - 5 * HIGH).alias("part"))
+
+
 # -- text and scalars ----------------------------------------------------------------------------------------------
 
 WORDS = [(0, "the "), (1, "tion"), (2, "ing"), (3, "idiot"), (4, "ción")]
@@ -416,6 +612,18 @@ def suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return text.suffix_array(spark.read.parquet(f"{folder}/nation.parquet"), "n_nationkey", "n_name").select("n_nationkey", "rank", "start")
 
 
+@_query("SELECT count(*) > 0 AS found, FALSE AS missing FROM nation WHERE n_name = 'NATION_3'")
+def trie_search(spark: SparkSession, folder: str) -> DataFrame:
+    words = spark.read.parquet(f"{folder}/nation.parquet")
+    return spark.createDataFrame([(text.contains_word(words, "NATION_3", "n_name"), text.contains_word(words, "NATION_", "n_name"))], "found boolean, missing boolean")
+
+
+@_query("SELECT p_partkey, (abs(p_size - 10) + abs(p_partkey - 100))::DOUBLE AS steps, round(sqrt((p_size - 10)::DOUBLE ^ 2 + (p_partkey - 100)::DOUBLE ^ 2), 9) AS straight FROM part")
+def distances_to_a_point(spark: SparkSession, folder: str) -> DataFrame:
+    p = spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_partkey").cast("double").alias("y"))
+    return p.select("p_partkey", paths.manhattan(F.col("x"), F.col("y"), F.lit(10.0), F.lit(100.0)).alias("steps"), F.round(F.hypot(F.col("x") - 10, F.col("y") - 100), 9).alias("straight"))
+
+
 @_query()
 def scalar_functions(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col("c_name")
@@ -470,6 +678,78 @@ def integrity_check(spark: SparkSession, folder: str) -> DataFrame:
     return store.check(star_schema(spark, folder))
 
 
+@_query("SELECT 'commits' AS what, 2::BIGINT AS value UNION ALL SELECT 'nodes', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) - 1 UNION ALL SELECT 'edges', count(*) - 1 FROM nation")
+def store_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    found = _stored_nations(spark, folder)[0].inspect()
+    return spark.createDataFrame([(k, found[k]) for k in ("commits", "nodes", "edges")], "what string, value long")
+
+
+def _log_of_three(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations by key modulo 3: transaction 0 commits, 1 rolls back, 2 stays open."""
+    key_of = F.col("n_nationkey").cast("long")
+    none = [F.lit(None).cast(store.NODE).alias("node"), F.lit(None).cast(store.EDGE).alias("edge")]
+    ops = spark.read.parquet(f"{folder}/nation.parquet").select((10 + key_of).alias("lsn"), (key_of % 3).alias("tx_id"), F.lit("DELETE_NODE").alias("kind"), *none, (2 * HIGH + key_of).alias("target_id"))
+    ends = spark.createDataFrame([(10_000, 0, "COMMIT"), (10_001, 1, "ROLLBACK")], "lsn long, tx_id long, kind string").select("lsn", "tx_id", "kind", *none, F.lit(None).cast("long").alias("target_id"))
+    return ops.unionByName(ends)
+
+
+@_query("SELECT (n_nationkey % 3)::BIGINT AS tx_id, CASE n_nationkey % 3 WHEN 0 THEN 'committed' WHEN 1 THEN 'rolled_back' ELSE 'open' END AS state, count(*)::BIGINT AS operations FROM nation GROUP BY ALL")
+def log_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    return store.analyse(_log_of_three(spark, folder))[0]
+
+
+@_query(f"SELECT 'NODE' AS what, {2 * HIGH} + n_nationkey AS target_id, 10::BIGINT + n_nationkey AS first_lsn FROM nation")
+def log_dirty_elements(spark: SparkSession, folder: str) -> DataFrame:
+    return store.analyse(_log_of_three(spark, folder))[1]
+
+
+@_query("SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 3 <> 0")
+def undo_of_open_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    """A state without any nation gets those back whose transactions never committed."""
+    g = star_schema(spark, folder)
+    v = g.nodes("Nation", whole=True)
+    nothing = store.PropertyGraph.from_frames(v.limit(0), spark.createDataFrame([], store.EDGES))
+    images = store.PropertyGraph.from_frames(v, spark.createDataFrame([], store.EDGES))
+    return store.undo(nothing, _log_of_three(spark, folder), images)[0].nodes("Nation").select((F.col("id") - 2 * HIGH).alias("id"))
+
+
+@_query("SELECT 10::BIGINT + n_nationkey AS lsn FROM nation WHERE n_nationkey % 3 = 2 UNION ALL SELECT 10001")
+def truncated_log(spark: SparkSession, folder: str) -> DataFrame:
+    """A checkpoint after the commit: what is left is the open transaction, and what came later."""
+    return store.truncate(_log_of_three(spark, folder).where("tx_id <> 1 or kind = 'ROLLBACK'"), 10_000).select("lsn")
+
+
+@_query("SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 2 = 0")
+def streamed_operations(spark: SparkSession, folder: str) -> DataFrame:
+    """Operations read as a stream; each micro-batch is one commit."""
+    at = f"{shared_dir(spark)}/graphweft-stream-{uuid.uuid4().hex}"
+    v = star_schema(spark, folder).nodes("Nation", whole=True).where(F.col("id") % 2 == 0)
+    node = F.struct("id", "labels", "props").cast(store.NODE)
+    rows = v.select(F.col("id").alias("lsn"), F.lit(1).cast("long").alias("tx_id"), F.lit("PUT_NODE").alias("kind"), node.alias("node"), F.lit(None).cast(store.EDGE).alias("edge"), F.col("id").alias("target_id"))
+    rows.write.parquet(f"{at}/in")
+    s = store.VersionedStore(spark, f"{at}/store")
+    ingest(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), s, f"{at}/checkpoint").awaitTermination()
+    return s.snapshot().nodes("Nation").select((F.col("id") - 2 * HIGH).alias("id"))
+
+
+def _from_files(form: str):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        at = f"{shared_dir(spark)}/graphweft-{form}-{uuid.uuid4().hex}"
+        v, e = _small(spark, folder)
+        nation = spark.read.parquet(f"{folder}/nation.parquet").select(key("Nation", "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+        for name, df in (("Nation", nation), ("Region", v.where(F.col("id") < 2 * HIGH)), ("IN", e.select("src", "dst"))):
+            df.write.format(form).option("header", True).save(f"{at}/{name}")
+        g = graph_from_files(spark, {k: f"{at}/{k}" for k in ("Nation", "Region")}, {"IN": f"{at}/IN"}, form)
+        return g.query('MATCH (n:Nation)-[:IN]->(r:Region) WHERE n.name > "NATION_2" RETURN n.name AS nation')
+
+    return run
+
+
+for _form in ("csv", "json", "orc", "parquet"):
+    QUERIES[f"graph_from_{_form}"] = _from_files(_form)
+    SQL[f"graph_from_{_form}"] = "SELECT n_name AS nation FROM nation WHERE n_name > 'NATION_2'"
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -138,6 +138,48 @@ def dfs_topological(nodes, out) -> tuple[list, list]:
     return order[::-1], []
 
 
+# -- weak points ---------------------------------------------------------------------------------------------------
+
+
+def weak_points(edges) -> tuple[list, list]:
+    """Bridges (a < b) and articulation points of undirected edges (a, b), which may repeat; in ascending order."""
+    around = defaultdict(list)
+    for k, (a, b) in enumerate(edges):
+        if a != b:
+            around[a].append((b, k))
+            around[b].append((a, k))
+    seen, low, bridges, points = {}, {}, set(), set()
+    for root in sorted(around):
+        if root in seen:
+            continue
+        seen[root] = low[root] = len(seen)
+        below, way = 0, [(root, -1, iter(around[root]))]
+        while way:
+            v, via, rest = way[-1]
+            step = next(rest, None)
+            if step is None:
+                way.pop()
+                if not way:
+                    break
+                up = way[-1][0]
+                low[up] = min(low[up], low[v])
+                if low[v] > seen[up]:
+                    bridges.add((min(up, v), max(up, v)))
+                if up == root:
+                    below += 1
+                elif low[v] >= seen[up]:
+                    points.add(up)
+            elif step[1] != via:
+                if step[0] in seen:
+                    low[v] = min(low[v], seen[step[0]])
+                else:
+                    seen[step[0]] = low[step[0]] = len(seen)
+                    way.append((step[0], step[1], iter(around[step[0]])))
+        if below > 1:
+            points.add(root)
+    return sorted(bridges), sorted(points)
+
+
 # -- matching and flow ---------------------------------------------------------------------------------------------
 
 
