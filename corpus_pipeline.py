@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm import common, language, packing, registry, simhash, surrogates, toxicity
+from graphweft.llm import common, jaccard, language, packing, registry, surrogates, toxicity
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest doc_id."""
-    return simhash.keep_one(docs, words=4, limit=4)
+    """Of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest doc_id."""
+    return jaccard.keep_one(docs, words=5, least=0.8)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

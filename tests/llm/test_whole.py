@@ -1,0 +1,62 @@
+"""Whole results where an operator once did less: each against brute force."""
+
+import numpy as np
+
+from graphweft.llm import jaccard
+
+
+def plain_jaccard_kept(text, words=5, least=0.8):
+    """The smallest id of each component of texts whose word shingles have a Jaccard similarity of at least 0.8."""
+    sets = {}
+    for i, t in text.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[j : j + words]) for j in range(max(1, len(w) - words + 1))} if w else set()
+    root = {i: i for i in text}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in text:
+        for b in text:
+            if a < b and (sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in text if find(i) == i}
+
+
+def edited(rng, n_base, copies, length):
+    """Texts of made-up words and copies with some words changed, around the limit of similarity; a passage is common."""
+    words = [f"w{i}" for i in range(500)]
+    passage = words[:12]
+    texts = []
+    for _ in range(n_base):
+        base = list(rng.choice(words, length)) + passage
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            new = list(base)
+            for at in rng.integers(0, len(new), rng.integers(0, 4)):
+                new[at] = str(rng.choice(words))
+            texts.append(" ".join(new))
+    return texts
+
+
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+    rng = np.random.default_rng(3)
+    texts = edited(rng, 8, 4, 90) + edited(rng, 1, 60, 120) + ["", None, "one two", "One two", "one two three four five six"]
+    text = dict(enumerate(texts))
+    frame = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(3)
+    want = plain_jaccard_kept(text)
+    assert 8 < len(want) < len(text)
+    assert {r["doc_id"] for r in jaccard.keep_one(frame).collect()} == want
+
+
+def test_pipeline_drops_near_copies_of_some_words(spark):
+    import corpus_pipeline
+
+    text = dict(enumerate(edited(np.random.default_rng(5), 6, 5, 90)))
+    frame = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.without_copies(spark, frame, "").collect()} == plain_jaccard_kept(text)
+    assert corpus_pipeline.without_copies(spark, frame.where("false"), "").count() == 0
