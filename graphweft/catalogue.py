@@ -368,8 +368,7 @@ def vertex_cover(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def max_flow(spark: SparkSession, folder: str) -> DataFrame:
     _, e = _pairs(spark, folder)
-    ends = e.where("src = 2 or dst = 3 or (src < 200 and dst < 200)")
-    return structure.max_flow(_both(ends).select("src", "dst", F.col("w").alias("cap")), 2, 3)
+    return structure.max_flow(_both(e).select("src", "dst", F.col("w").alias("cap")), 2, 3)
 
 
 @_query()
