@@ -30,15 +30,16 @@ PATTERNS = {
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "hex": r"(?<![0-9A-Za-z])(?=[a-f]{0,128}[0-9])[0-9a-f]{32,128}(?![0-9A-Za-z])",
-    "secret": r"""(?<=(?i:password|passwd|pwd|secret|token|api_?key)["']?\s{0,2}[=:]\s{0,2}["']?)(?![\s"'=:])[^\s"',;]{6,128}""",
+    "hex": r"(?<![0-9A-Za-z])(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?![0-9A-Za-z])",
+    "secret": r"""(?<=(?i:password|passwd|pwd|secret|token|api_?key)["']?\s{0,2}[=:]\s{0,2}["']?)(?![\s"'=:])[^\s"',;]{6,}+""",
     "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES['m'] + TITLES['f'])})\.? \p{{Lu}}\p{{L}}{{1,40}}(?: \p{{Lu}}\p{{L}}{{1,40}}(?![\p{{L}}0-9]))?|(?:{_ALL_GIVEN}) \p{{Lu}}\p{{L}}{{1,40}})(?![\p{{L}}0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every pattern needs; texts without it are not looked at further.
 HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)|(?<!\p{{L}})(?:{'|'.join(TITLES['m'] + TITLES['f'])})\.? |(?<!\p{{L}})(?:{_ALL_GIVEN}) "
-#: Bytes of a stream, and draws until a surrogate is told apart by a number.
-STREAM, DRAWS = 256, 8
+#: Bytes of a stream, which a longer surface takes again from the start; a surface of more characters than LONG is no
+#: number, so its digits are told by their place and not counted from the right; and draws until a surrogate is told apart by a number.
+STREAM, LONG, DRAWS = 256, 128, 8
 
 
 def kind_of(surface: Column) -> Column:
@@ -83,7 +84,7 @@ def _shaped(surface: Column, stream: Column, hexadecimal: bool = False) -> Colum
     letter of the same script and case; other characters stay."""
 
     def one(c, i):
-        left = F.length(F.regexp_replace(F.substring(surface, i + 1, F.lit(1 << 16)), "[^0-9]", ""))
+        left = F.when(F.length(surface) > LONG, F.length(surface) - i).otherwise(F.length(F.regexp_replace(F.substring(surface, i + 1, F.lit(LONG)), "[^0-9]", "")))
         n = _byte(stream, i + 64)
         out = c
         for pattern, letters in reversed((("[a-f]", "abcdef"),) if hexadecimal else ALPHABETS):

@@ -1,8 +1,11 @@
 """Whole results where an operator once did less: each against brute force."""
 
+import base64
+import random
+
 import numpy as np
 
-from graphweft.llm import jaccard
+from graphweft.llm import jaccard, surrogates
 
 
 def plain_jaccard_kept(text, words=5, least=0.8):
@@ -60,3 +63,16 @@ def test_pipeline_drops_near_copies_of_some_words(spark):
     frame = spark.createDataFrame(list(text.items()), "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.without_copies(spark, frame, "").collect()} == plain_jaccard_kept(text)
     assert corpus_pipeline.without_copies(spark, frame.where("false"), "").count() == 0
+
+
+def test_secrets_of_any_length_are_replaced_to_their_end(spark):
+    rng = random.Random(2)
+    values = [base64.urlsafe_b64encode(rng.randbytes(n)).decode().rstrip("=") for n in (90, 225, 600, 9000)]
+    keys = [rng.randbytes(n).hex() for n in (20, 64, 65, 150, 400)]
+    rows = [(i, f'log token="{v}" end') for i, v in enumerate(values)] + [(10 + i, f"log {k} end") for i, k in enumerate(keys)]
+    out = {r["doc_id"]: r for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key", count="n").collect()}
+    for i, text in rows:
+        new = out[i]["text"]
+        assert out[i]["n"] == 1 and len(new) == len(text) and new.endswith(" end")
+        value = text.removesuffix(" end").split(" ")[1]
+        assert not any(value[at : at + 12] in new for at in range(9, len(value) - 13))
