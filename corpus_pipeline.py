@@ -11,7 +11,9 @@ from graphweft.llm import common, jaccard, language, packing, registry, surrogat
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language; those without letters or with a text like none of the languages go."""
-    return language.recognised(docs, language.fit(docs, registry.remainder(5) > 0))
+    learned = registry.remainder(5) > 0
+    profiles = language.fit(docs, learned)
+    return language.recognised(docs, profiles, least_by_length=language.limits(docs, learned & F.col("lang").isNotNull(), profiles))
 
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

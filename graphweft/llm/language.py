@@ -18,6 +18,9 @@ DIMENSIONS, SEED = 2048, 20
 SYMBOLS, SHIFT = 128, 7
 #: Characters of a text counted at a time.
 RUN = 1 << 20
+#: A text is like none of the languages if it scores under this part of the score that all but LOW of the learning rows of
+#: its length reach, or all rows; lengths of fewer than ENOUGH rows are taken together with the next ones.
+MARGIN, LOW, ENOUGH = 0.4, 0.01, 100
 
 
 @functools.lru_cache(1)
@@ -108,31 +111,39 @@ def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text")
     return Profiles(languages, codes, prototypes, products.astype(np.float32))
 
 
-def scorer(profiles: Profiles | None):
-    """A function from texts to (language or und, cosine cut to 0..1).
-
-    The product of a text's bundle with a prototype is the sum of its grams' products, so the order of the languages
-    by cosine is that of the vectors themselves. The bundle's length, the same for all languages, is taken as
-    sqrt(DIMENSIONS * sum of squared weights), which it is for orthogonal gram vectors, as random ones nearly are.
-    """
+def _scorer(profiles: Profiles | None, whole: bool):
+    """A function from texts to (language or und, cosine cut to 0..1, number of grams); whole: unknown grams count in the
+    bundle's length."""
     if profiles is None:
-        return lambda text: ("und", 0.0)
+        return lambda text: ("und", 0.0, 0)
     place = np.full(SYMBOLS**3, len(profiles.codes), dtype=np.int32)
     place[profiles.codes] = np.arange(len(profiles.codes))
 
-    def score(text: str | None) -> tuple[str, float]:
+    def score(text: str | None) -> tuple[str, float, int]:
         codes = grams(text or "")
         if not len(codes):
-            return "und", 0.0
+            return "und", 0.0, 0
         n = np.sqrt(np.bincount(place[codes], minlength=len(profiles.codes) + 1)[:-1].astype(np.float32))
-        length = np.sqrt(DIMENSIONS * float(n @ n))
+        # a gram's weight is the root of its count, so the squares of all weights add up to the number of grams
+        length = np.sqrt(DIMENSIONS * (len(codes) if whole else float(n @ n)))
         cosine = (n @ profiles.products) / length if length else np.zeros(len(profiles.languages))
         best = int(np.argmax(cosine))
-        return profiles.languages[best], float(min(1.0, max(0.0, cosine[best])))
+        return profiles.languages[best], float(min(1.0, max(0.0, cosine[best]))), len(codes)
 
     return score
 
 
+def scorer(profiles: Profiles | None):
+    """A function from texts to (language or und, cosine cut to 0..1).
+
+    The product of a text's bundle with a prototype is the sum of its grams' products, so the order of the languages
+    by cosine is that of the vectors themselves. The bundle's length, the same for all languages, is taken as
+    sqrt(DIMENSIONS * sum of squared weights), which it is for orthogonal gram vectors, as random ones nearly are.
+    """
+    score = _scorer(profiles, False)
+    return lambda text: score(text)[:2]
+
+
 def predict(docs: DataFrame, profiles: Profiles | None, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of docs with lang_pred and score. `und` and 0 for a null text, one without letters, or without
     profiles; ties go to the first language by name. Whole texts of any length; each row by itself."""
@@ -148,16 +159,42 @@ def predict(docs: DataFrame, profiles: Profiles | None, keep: list[str], text: s
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, profiles: Profiles | None, least_score: float = 0.02, text: str = "text") -> DataFrame:
-    """The rows of docs whose text has a language: not `und`, and at least least_score. All columns stay as they are; only
-    the text goes to Python, and only a flag comes back."""
+def limits(docs: DataFrame, train: Column, profiles: Profiles | None, text: str = "text") -> list[float]:
+    """The least score of a text of 2^i grams and more, for each i, from the scores of all rows where `train` holds. What
+    reaches the driver is a count for each i and thousandth of the score."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches):
+        score = _scorer(shared.value, True)
+        for batch in batches:
+            found = [(n.bit_length() - 1, int(1000 * value)) for _, value, n in (score(x.as_py()) for x in batch.column("text")) if n]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32())], names=["i", "s"])
+
+    rows = docs.where(train).select(F.col(text).alias("text")).mapInArrow(run, "i int, s int").groupBy("i", "s").count().collect()
+    table = np.zeros((32, 1001), dtype=np.int64)
+    for r in rows:
+        table[r["i"], r["s"]] = r["count"]
+    if table.sum() < ENOUGH:
+        return [0.0] * len(table)
+
+    def low(counts: np.ndarray) -> float:
+        return MARGIN * float(np.searchsorted(np.cumsum(counts), LOW * counts.sum(), side="right")) / 1000
+
+    near = [next(x for k in range(len(table)) if (x := table[max(0, i - k) : i + k + 1].sum(0)).sum() >= ENOUGH) for i in range(len(table))]
+    return [min(low(x), low(table.sum(0))) for x in near]
+
+
+def recognised(docs: DataFrame, profiles: Profiles | None, least_score: float = 0.02, text: str = "text", least_by_length: list[float] | None = None) -> DataFrame:
+    """The rows of docs whose text has a language: not `und`, and at least least_score, or what limits() gives for its
+    length if that is more. Grams of no learned language lower the score. All columns stay as they are; only the text goes
+    to Python, and only a flag comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = scorer(shared.value)
+        score = _scorer(shared.value, True)
         for batch in texts:
             found = [score(x) for x in batch]
-            yield pd.Series([name != "und" and value >= least_score for name, value in found], dtype=bool)
+            yield pd.Series([name != "und" and value >= max(least_score, least_by_length[n.bit_length() - 1] if least_by_length else 0) for name, value, n in found], dtype=bool)
 
     return docs.where(known(F.col(text)))

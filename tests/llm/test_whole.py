@@ -4,6 +4,7 @@ import base64
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphweft.llm import jaccard, surrogates
 
@@ -76,3 +77,22 @@ def test_secrets_of_any_length_are_replaced_to_their_end(spark):
         assert out[i]["n"] == 1 and len(new) == len(text) and new.endswith(" end")
         value = text.removesuffix(" end").split(" ")[1]
         assert not any(value[at : at + 12] in new for at in range(9, len(value) - 13))
+
+
+def test_gibberish_and_unlearned_languages_go(spark):
+    import corpus_pipeline
+
+    rng, docs = random.Random(4), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    made = {"az": "abcdefghijklmnopqrstuvwxyz", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "cjk": [chr(x) for x in range(0x4E00, 0x9000)]}
+    junk = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(60)) for letters in made.values() for _ in range(10)]
+    junk += [
+        "Wczoraj wieczorem poszliśmy nad rzekę, żeby zobaczyć zachód słońca i porozmawiać o przyszłości naszego kraju",
+        "Eilen illalla kävelimme joen rannalla ja puhuimme siitä, mitä tulevaisuus voisi tuoda meille kaikille",
+        "Jana jioni tulitembea kando ya mto na kuzungumza kuhusu mambo ambayo yanaweza kutokea kesho",
+    ]
+    rows = spark.createDataFrame([(10**9 + i, x, None) for i, x in enumerate(junk)], "doc_id long, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").unionByName(rows)
+    kept = {r["doc_id"] for r in corpus_pipeline.by_language(spark, both, "").select("doc_id").collect()}
+    assert not [junk[i - 10**9] for i in kept if i >= 10**9]
+    words = docs.where(F.length("text") > 0).select("doc_id").collect()
+    assert len(words) - len(kept) <= len(words) // 500
