@@ -36,7 +36,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every pattern needs; texts without it are not looked at further.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)|(?<!\p{{L}})(?:{'|'.join(TITLES['m'] + TITLES['f'])})\.? |(?<!\p{{L}})(?:{_ALL_GIVEN}) "
+HINT = rf"[0-9@]|A(?:KIA|SIA)|(?i:password|passwd|pwd|secret|token|api_?key)|(?<!\p{{L}})(?:{'|'.join(TITLES['m'] + TITLES['f'])})\.? |(?<!\p{{L}})(?:{_ALL_GIVEN}) "
 #: Bytes of a stream, which a longer surface takes again from the start; a surface of more characters than LONG is no
 #: number, so its digits are told by their place and not counted from the right; and draws until a surrogate is told apart by a number.
 STREAM, LONG, DRAWS = 256, 128, 8
