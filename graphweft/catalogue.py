@@ -373,13 +373,13 @@ def max_flow(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def min_cost_flow(spark: SparkSession, folder: str) -> DataFrame:
-    _, e = _small(spark, folder)
+    _, e = _tree(spark, folder)
     return structure.min_cost_flow(_both(e).select("src", "dst", F.col("w").alias("cap"), (F.col("src") % 5 + 1).cast("double").alias("cost")), 2 * HIGH, HIGH)
 
 
 @_query()
 def karger_cut(spark: SparkSession, folder: str) -> DataFrame:
-    return structure.karger_cut(_small(spark, folder)[1], 50, 1)
+    return structure.karger_cut(_tree(spark, folder)[1], 50, 1)
 
 
 @_query("SELECT FALSE AS k5, FALSE AS k33")
@@ -390,7 +390,7 @@ def small_subgraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def gcn_forward(spark: SparkSession, folder: str) -> DataFrame:
-    v, e = _small(spark, folder)
+    v, e = _tree(spark, folder)
     x = v.select("id", F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("x"))
     return structure.gcn(x, e, [(np.array([[0.5, -0.25], [0.1, 0.3]]), np.array([0.1, 0.0])), (np.array([[1.0], [-1.0]]), np.array([0.2]))])
 
@@ -459,7 +459,7 @@ def depth_first_order(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def depth_first_topological(spark: SparkSession, folder: str) -> DataFrame:
-    return structure.dfs_topological(*_small(spark, folder))
+    return structure.dfs_topological(*_tree(spark, folder))
 
 
 @_query()
@@ -469,7 +469,7 @@ def edge_colouring(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def random_independent_set(spark: SparkSession, folder: str) -> DataFrame:
-    return structure.independent_set(*_small(spark, folder), seed=3)
+    return structure.independent_set(*_tree(spark, folder), seed=3)
 
 
 @_query(f"SELECT 1.0::DOUBLE AS size, {HIGH}::BIGINT AS node")

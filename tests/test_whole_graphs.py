@@ -13,3 +13,20 @@ def test_max_flow_uses_all_pairs(spark, tmp_path):
     _write(spark, tmp_path, "orders", [(i, c) for i, (c, _, _) in enumerate(bought)], "o_orderkey long, o_custkey long")
     _write(spark, tmp_path, "lineitem", [(i, s) for i, (_, s, n) in enumerate(bought) for _ in range(n)], "l_orderkey long, l_suppkey long")
     assert catalogue.max_flow(spark, str(tmp_path)).first()["flow"] == 4.0
+
+
+def test_tree_queries_see_customers_and_suppliers(spark, tmp_path):
+    _write(spark, tmp_path, "nation", [(0, 0), (1, 0)], "n_nationkey long, n_regionkey long")
+    _write(spark, tmp_path, "customer", [(1, 0), (2, 0), (3, 1)], "c_custkey long, c_nationkey long")
+    _write(spark, tmp_path, "supplier", [(1, 1)], "s_suppkey long, s_nationkey long")
+    high, at = catalogue.HIGH, str(tmp_path)
+    edges = [(2 * high, high), (2 * high + 1, high), (3 * high + 1, 2 * high), (3 * high + 2, 2 * high), (3 * high + 3, 2 * high + 1), (4 * high + 1, 2 * high + 1)]
+    ids = {x for e in edges for x in e}
+    assert {r["id"] for r in catalogue.gcn_forward(spark, at).collect()} == ids
+    order = {r["id"]: r["place"] for r in catalogue.depth_first_topological(spark, at).collect()}
+    assert set(order) == ids and all(order[a] < order[b] for a, b in edges)
+    free = {r["id"] for r in catalogue.random_independent_set(spark, at).collect()}
+    assert not any(a in free and b in free for a, b in edges)
+    assert any(v >= 3 * high for v in free)
+    assert catalogue.karger_cut(spark, at).first()["weight"] == 1.0
+    assert catalogue.min_cost_flow(spark, at).first()["flow"] == 1.0
