@@ -124,9 +124,9 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each document.
 
-    Pieces are range-sorted by length and ranked inside their length by prefix sums over the sorted partitions; the
-    gaps are range-sorted too, as runs. best_fit() sweeps documents' lengths against gaps; each piece then finds its
-    place from its rank, in one join with the table of runs, whose size `capacity` bounds (at most capacity^2 / 2 rows
+    Pieces are range-sorted by length and ranked inside their length by prefix sums over the sorted partitions.
+    best_fit() sweeps lengths against gaps, which it keeps as sorted runs, in one loop on the driver: it sees at most
+    `capacity` counts, one for each length, and is exact as only lengths decide. Each piece then finds its place from its rank, in one join with the table of runs, whose size `capacity` bounds (at most capacity^2 / 2 rows
     of 40 bytes; a few thousand in practice). Pieces are written before, so texts are encoded once.
     Null and empty texts are packed as their end id alone; repeated rows are packed each by itself; no rows: no rows.
     """
