@@ -33,6 +33,15 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one number that may be sent to every task: some 50 MB there.
+FEW = 1 << 20
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """The stored keys (one number each), to be sent to every task if at most FEW; beyond that a join deals both sides out."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,4 +1,5 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, through prefix filtering."""
+"""SimHash near-duplicates with an exact check of word shingles: the SimHash operator's links, checked by Jaccard similarity, and
+after them whatever pairs of that similarity differ in too many bits, through prefixes that two such sets must share."""
 
 from __future__ import annotations
 
@@ -10,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from . import simhash
+from .common import components, few, stored
 from .simhash import LOWER, SEED
 
 #: Texts whose shingles are counted to tell frequent ones, how often one must occur there, and how many are told at most.
@@ -18,7 +20,7 @@ from .simhash import LOWER, SEED
 SAMPLE, OFTEN, TOLD = 8000, 3, 1 << 18
 #: Rounds in which a bucket's members are compared with one of them alone, before all pairs that are left, and how many
 #: different ones buckets of the same members choose.
-STARS, SPOKES = 2, 4
+STARS, SPOKES = 1, 4
 #: Bits of a set's parities: in how many two sets differ is at most the number of shingles that only one of them has.
 PARITIES = 512
 #: A pair is left out of a bucket if it has met in one of so many buckets before.
@@ -36,16 +38,21 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def _classed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, cls, bits, text): texts with one set of shingles have one cls; bits has PARITIES parities of the set."""
+    """(doc_id, cls, fp, bits, text): texts with one set of shingles have one cls; fp is the SimHash of the set, bits has
+    PARITIES parities of it."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(x.as_py(), words) for x in batch.column("text")]
-            cls = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype=np.uint64).view(np.int64)
-            bits = [np.packbits((np.bincount((h % PARITIES).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64).tolist() for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cls, pa.int64()), pa.array(bits, pa.list_(pa.int64())), batch.column("text")], names=["doc_id", "cls", "bits", "text"])
+            cls, fp, bits = [], [], []
+            for x in batch.column("text"):
+                h = shingles(x.as_py(), words)
+                cls.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                fp.append(simhash.majority(h))
+                bits.append(np.packbits((np.bincount((h % PARITIES).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64).tolist())
+            whole = [pa.array(np.array(v, dtype=np.uint64).view(np.int64), pa.int64()) for v in (cls, fp)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *whole, pa.array(bits, pa.list_(pa.int64())), batch.column("text")], names=["doc_id", "cls", "fp", "bits", "text"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, bits array<long>, text string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, fp long, bits array<long>, text string")
 
 
 def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +111,14 @@ def _may_by_bits(x: str, y: str, least: Fraction) -> Column:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
+    """The pairs (a, b) of classes whose sets are similar enough. Only the texts of classes that stand in a pair are moved:
+    the classes are sent to the tasks where few() bounds them, else both sides are dealt out."""
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([shingles(x.as_py(), words).tobytes() for x in batch.column("text")], pa.binary())], names=["cls", "h"])
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([shingles(x.as_py(), words).tobytes() for x in part.column("text")], pa.binary())], names=["cls", "h"])
 
     def check(batches):
         for batch in batches:
@@ -119,32 +129,42 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, least: Fraction) -
                 good.append(both * least.denominator >= (len(x) + len(y) - both) * least.numerator)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    held = stored(texts.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text")).mapInArrow(sets, "cls long, h binary"), "jaccard-sets")
+    ends = few(stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "jaccard-ends"))
+    one = texts.select("cls", "text").join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
+    held = stored(one.mapInArrow(sets, "cls long, h binary"), "jaccard-sets")
     both = pairs.join(held.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b")
     return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "jaccard-links")
 
 
-def links(texts: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(a, b): pairs of classes of `texts` (cls long, bits, text) that connect just what pairs of a Jaccard similarity of at
-    least `least` connect. No pair is left to chance: prefixes of two similar sets meet in some bucket under any order of
-    shingles, and each pair of a bucket is checked on its whole sets unless its bounds forbid it or it is connected.
+def by_simhash(classes: DataFrame, limit: int = 4) -> DataFrame:
+    """(a, b): pairs of classes (cls, fp) that connect just what fingerprints of at most `limit` differing bits connect, as
+    simhash.links() finds them; classes of one fingerprint are paired with the first of them."""
+    of = stored(classes.groupBy("fp").agg(F.min("cls").alias("one")), "jaccard-prints")
+    alike = classes.join(of, "fp").where("cls <> one").select(F.col("cls").alias("a"), F.col("one").alias("b"))
+    found = stored(simhash.links(of.select("fp"), limit), "jaccard-print-links")
+    near = found.join(of.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
+    return alike.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    In the first rounds each bucket's members meet one of them alone, which connects most of a large group of copies; then
-    all pairs of a bucket that are not connected yet, in blocks where a bucket is large.
+
+def links(texts: DataFrame, classes: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(a, b): pairs of classes of `texts` (cls long, text), of which `classes` (cls, fp, bits) has each once, that connect
+    just what pairs of a Jaccard similarity of at least `least` connect.
+
+    The SimHash operator's links come first, each checked on whole sets. What they leave out, as 0.8 can mean far more
+    differing bits than a chain of segments can hold, is found through prefixes: those of two similar sets meet in some
+    bucket under any order of shingles, and each pair of a bucket is checked on its whole sets unless its bounds forbid it
+    or it is connected. In the first rounds each bucket's members meet one of them alone; then all pairs of a bucket that
+    are not connected yet, in blocks where a bucket is large. No pair is left to chance.
     """
     part = Fraction(str(least))
+    found = _verified(texts, stored(by_simhash(classes), "jaccard-pairs"), words, part)
     first = stored(_prefixes(texts, words, part, _frequent(texts, words)), "jaccard-prefixes")
-    many = first.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("k")
-    rows = stored(first.join(many, "k", "left_semi").groupBy("k", "cls").agg(F.min("n").alias("n"), F.min("at").alias("at")), "jaccard-buckets")
-    found = None
+    many = stored(first.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("k"), "jaccard-shared")
+    rows = stored(first.join(many, "k", "left_semi"), "jaccard-meeting")
+    rows = stored(rows.groupBy("k", "cls").agg(F.min("n").alias("n"), F.min("at").alias("at")), "jaccard-buckets")
     for turn in range(STARS + 1):
-        if found is None:
-            now = rows.withColumn("c", F.col("cls"))
-        else:
-            root = components(found, "jaccard-components")
-            now = rows.join(root, rows["cls"] == root["node"], "left").select("k", "cls", "n", "at", F.coalesce("component", "cls").alias("c"))
-        now = stored(now, "jaccard-members")
+        root = components(found, "jaccard-components")
+        now = stored(rows.join(root, rows["cls"] == root["node"], "left").select("k", "cls", "n", "at", F.coalesce("component", "cls").alias("c")), "jaccard-members")
         open_ = stored(now.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many"), F.min(F.struct(F.xxhash64("cls", F.pmod(F.xxhash64("k"), F.lit(SPOKES)), F.lit(turn)).alias("h"), "cls", "n", "at", "c")).alias("one")).where("lo < hi"), "jaccard-open")
         if turn < STARS:
             met = now.alias("x").join(open_.select("k", "one.*").drop("h").alias("y"), "k")
@@ -154,15 +174,13 @@ def links(texts: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
             order = live.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("at", "k"))).alias("order")).select("cls", F.posexplode("order").alias("place", "e"), "order.k")
             place = F.greatest(F.col("place") - BEFORE, F.lit(0))
             order = order.select("cls", F.col("e.k").alias("of"), F.slice("k", place + 1, F.col("place") - place).alias("before"))
-            bits = texts.join(live.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("bits").alias("bits"))
-            live = stored(live.join(order.withColumnRenamed("of", "k"), ["cls", "k"]).join(bits, "cls"), "jaccard-ordered")
+            live = stored(live.join(order.withColumnRenamed("of", "k"), ["cls", "k"]).join(classes.select("cls", "bits"), "cls"), "jaccard-ordered")
             left = live.withColumn("i", F.pmod(F.xxhash64("cls"), blocks))
             right = live.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
             met = left.alias("x").join(right.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.cls") > F.col("y.cls")))
             met = met.where((F.col("x.c") != F.col("y.c")) & _may("x", "y", part) & _may_by_bits("x", "y", part) & ~F.arrays_overlap("x.before", "y.before"))
         pairs = met.where((F.col("x.c") != F.col("y.c")) & _may("x", "y", part)).select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
-        good = _verified(texts, stored(pairs, "jaccard-pairs"), words, part)
-        found = good if found is None else found.unionByName(good)
+        found = found.unionByName(_verified(texts, stored(pairs, "jaccard-pairs"), words, part))
     return found
 
 
@@ -171,12 +189,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     reach, through any number of documents. Texts without words are alike. A null doc_id has its row too, but names no
     component unless all of a component's are null. Repeated rows: each has its own; no rows: no rows."""
     texts = stored(_classed(docs, words), "jaccard-texts")
-    classes = stored(texts.groupBy("cls").agg(F.min("doc_id").alias("first")), "jaccard-classes")
-    root = components(links(texts, words, least), "jaccard-components")
-    named = classes.join(root, classes["cls"] == root["node"], "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
-    by = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    classes = stored(texts.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "jaccard-classes")
+    root = components(links(texts, classes, words, least), "jaccard-components")
+    named = stored(classes.join(root, classes["cls"] == root["node"], "left").select("cls", "first", F.coalesce("component", "cls").alias("component")), "jaccard-rooted")
+    by = stored(named.groupBy("component").agg(F.min("first").alias("component_id")), "jaccard-first")
     by_class = stored(named.select("cls", "component").join(by, "component").select(F.col("cls").alias("__cls"), "component_id"), "jaccard-named")
-    return texts.join(by_class, F.col("cls") == F.col("__cls")).select("doc_id", "component_id")
+    return texts.select("doc_id", "cls").join(by_class, F.col("cls") == F.col("__cls")).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

@@ -61,6 +61,14 @@ def fingerprint(text: str, words: int = 4) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * ones > n)) if n else 0
 
 
+def majority(h: np.ndarray) -> int:
+    """The SimHash of hashes: a bit is 1 if it is set in over half of them. No hash: 0."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for lo in range(0, len(h), 1 << 14):
+        ones += np.unpackbits(h[lo : lo + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return sum(1 << int(i) for i in np.flatnonzero(2 * ones > len(h)))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
@@ -112,14 +120,13 @@ def _forest(fp: np.ndarray, key: np.ndarray, begins: np.ndarray, keys: list, lim
     while len(active := active[active + lag < ends[active]]):
         diff = fp[active] ^ fp[active + lag]
         near = np.ones(len(active), dtype=bool)
-        if lag == 1 or len(active) > 64:
-            for k in np.unique(key[active]):
-                at = np.flatnonzero(key[active] == k)
-                for bits, most in prefixes[k]:
-                    at = at[np.bitwise_count(diff[at] & bits) <= most]
-                keep = np.zeros(len(active), dtype=bool)
-                keep[at] = True
-                near &= keep | (key[active] != k)
+        for k in np.unique(key[active]):
+            at = np.flatnonzero(key[active] == k)
+            for bits, most in prefixes[k]:
+                at = at[np.bitwise_count(diff[at] & bits) <= most]
+            keep = np.zeros(len(active), dtype=bool)
+            keep[at] = True
+            near &= keep | (key[active] != k)
         a = active[near]
         a = a[np.bitwise_count(fp[a] ^ fp[a + lag]) <= limit]
         while len(a := a[root[a] != root[a + lag]]):
@@ -202,8 +209,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, limit: int = 4) -> DataFram
     classes = stored(print_of.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     found = stored(links(classes.select("fp"), limit), "simhash-links")
     root = components(found, "simhash-components")
-    named = classes.join(root, classes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = stored(classes.join(root, classes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "simhash-rooted")
+    least = stored(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-least")
     by_class = stored(named.select("fp", "component").join(least, "component").select(F.col("fp").alias("__fp"), "component_id"), "simhash-named")
     return print_of.join(by_class, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
