@@ -11,7 +11,7 @@ HELP = """usage: python -m graphweft COMMAND
   query TEXT     rows of a MATCH query over the demo graph
   explain TEXT   how a query is run
   help           this text"""
-DEMO = 'MATCH (p:Person)-[:KNOWS]->(f:Person) WHERE p.name = "Ana" RETURN f.name'
+DEMO = 'MATCH (s:Ship)-[:CALLS]->(p:Port) WHERE p.depth > 8 RETURN s.name, p.name'
 
 
 def run(args: list[str], out=sys.stdout, err=sys.stderr, spark=None) -> int:

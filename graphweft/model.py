@@ -216,8 +216,10 @@ class PropertyGraph:
 
 
 def demo_graph(spark: SparkSession) -> PropertyGraph:
-    """Four persons and two cities."""
-    people = [(0, "Ana", 36), (1, "Bo", 41), (2, "Carla", 29), (3, "Dani", 36)]
-    nodes = [(i, ["Person"], {"name": n, "age": a}) for i, n, a in people] + [(4, ["City"], {"name": "Madrid"}), (5, ["City"], {"name": "Lisboa"})]
-    edges = [(0, 0, 1, "KNOWS", {"since": 2020}), (1, 1, 2, "KNOWS", {"since": 2021}), (2, 2, 0, "KNOWS", {"since": 2022}), (3, 3, 3, "KNOWS", {}), (4, 0, 4, "LIVES_IN", {}), (5, 1, 5, "LIVES_IN", {})]
-    return PropertyGraph.from_rows(spark, nodes, edges)
+    """Ships, the ports that they call at, and whom they have met: with a loop, parallel edges and missing properties."""
+    ships = [(i, ["Ship"], {"name": n, "tons": t}) for i, (n, t) in enumerate([("Alba", 120), ("Brisa", 80), ("Coral", 200), ("Delta", 80)])]
+    ports = [(i, ["Port"], {"name": n, "depth": d}) for i, (n, d) in enumerate([("Norden", 12), ("Sund", 7), ("Vik", 12)], 5)]
+    met = [(0, 1, 2019), (1, 2, 2021), (0, 1, 2023), (2, 2, None), (3, 0, 2020)]
+    calls = [(0, 5, 2), (1, 5, 1), (2, 6, 4), (4, 7, None)]
+    edges = [(a, b, "MEETS", {"year": y} if y else {}) for a, b, y in met] + [(a, b, "CALLS", {"days": d} if d else {}) for a, b, d in calls]
+    return PropertyGraph.from_rows(spark, [*ships, (4, ["Ship", "Museum"], {"name": "Ebro"}), *ports], [(i, *e) for i, e in enumerate(edges)])

@@ -9,29 +9,35 @@ from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError
 from ..functions import kernels
-from ..sources.stages import stored
+from ..sources.stages import forget, stored
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, component): the smallest id that a node is connected with. Large-star and small-star rounds: each keeps the
-    number of edges, minima are combined before each shuffle, and the number of rounds is about the logarithm of the
-    longest way. Minima are written before edges are joined to them: both sides are then plain shuffles, in which AQE
-    splits the rows of a hub."""
-    now = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "components")
+def stars(edges: DataFrame, name: str, rounds: int) -> DataFrame:
+    """(a, b) with b the smallest id that a reaches, for each end of an edge (src, dst) but those smallest themselves.
+    Large-star and small-star rounds: each keeps the number of edges, minima are combined before each shuffle, and the number
+    of rounds is about the logarithm of the longest way. Minima are written before edges are joined to them: both sides are
+    then plain shuffles, in which AQE splits the rows of a hub. Ends it when no edge changes."""
+    kind = edges.schema["src"].dataType
+    now = stored(edges.where("src <> dst").select(F.greatest("src", "dst").cast(kind).alias("a"), F.least("src", "dst").cast(kind).alias("b")).distinct(), name)
     seen = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "components-least")
-        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "components-large")
-        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), "components-down")
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-least")
+        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"{name}-large")
+        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-down")
         pairs = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = stored(large.join(down, "a").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct(), "components")
+        last, now = now, stored(large.join(down, "a").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct(), name)
+        forget(last, least, large, down)
         mark = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if mark == seen:
-            break
+            return now
         seen = mark
-    else:
-        raise AlgorithmError("NoConvergence", f"{rounds} rounds")
+    raise AlgorithmError("NoConvergence", f"{rounds} rounds")
+
+
+def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, component): the smallest id that a node is connected with, by rounds of stars."""
+    now = stars(edges, "components", rounds)
     return nodes.select("id").distinct().join(now, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("component"))
 
 

@@ -87,6 +87,30 @@ def bellman_ford(edges: DataFrame, origin: int) -> DataFrame:
     return _relax(edges, origin, None, max(1, nodes))
 
 
+def potentials(edges: DataFrame) -> DataFrame:
+    """(node, h): the least weight of any way that ends at a node, 0 at most, as from one more node with an edge of weight 0 to
+    each. With them no edge is negative: w + h(src) - h(dst) >= 0. NegativeCycle if there is one."""
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select("dst").withColumnRenamed("dst", "node")).distinct()
+    edges, now = stored(edges.select("src", "dst", "w"), "edges"), stored(nodes.select("node", F.lit(0.0).alias("h")), "potentials")
+    changed = now
+    for _ in range(now.count() + 1):
+        reach = changed.join(edges, changed["node"] == edges["src"]).groupBy(F.col("dst").alias("to")).agg(F.min(F.col("h") + F.col("w")).alias("new"))
+        changed = stored(now.join(reach, now["node"] == reach["to"]).where("new < h").select("node", F.col("new").alias("h")), "potentials-changed")
+        if changed.isEmpty():
+            return now
+        now = stored(now.join(changed.select("node"), "node", "left_anti").unionByName(changed), "potentials")
+    raise AlgorithmError("NegativeCycle")
+
+
+def johnson(edges: DataFrame) -> DataFrame:
+    """(src, dst, dist) of all reachable pairs, negative weights allowed: potentials make every weight a distance, and what
+    they add to a way is taken off again."""
+    h = potentials(edges)
+    a, b = h.select(F.col("node").alias("src"), F.col("h").alias("ha")), h.select(F.col("node").alias("dst"), F.col("h").alias("hb"))
+    lifted = edges.join(a, "src").join(b, "dst").select("src", "dst", (F.col("w") + F.col("ha") - F.col("hb")).alias("w"))
+    return all_pairs(lifted).join(a, "src").join(b, "dst").select("src", "dst", (F.col("dist") - F.col("ha") + F.col("hb")).alias("dist"))
+
+
 def path_to(distances: DataFrame, target: int) -> tuple[list[int], list[int], float] | None:
     """(nodes, edges, cost) of the way to a node, None where it isn't reached; one lookup for each step."""
     nodes, edges, row = [target], [], distances.where(F.col("node") == target).first()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError
 from ..functions import kernels
-from ..sources.stages import stored
+from ..sources.stages import Growing, stored
 from .community import components
 
 
@@ -27,19 +27,29 @@ def simple(edges: DataFrame) -> DataFrame:
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(eid, src, dst, w) of a minimum spanning forest; edges (eid, src, dst, w). In each round every component takes its
-    least edge by (w, eid), which makes the forest the one that adding edges in that order gives."""
+    least edge by (w, eid), which makes the forest the one that adding edges in that order gives. Those edges lead each
+    component to another and form trees, of whose two ends one pair point at each other; pointers are doubled until all
+    point at their tree's root."""
     edges = stored(edges.where("src <> dst").select("eid", "src", "dst", "w"), "forest-edges")
     own = stored(nodes.select("id", F.col("id").alias("root")), "forest-roots")
-    chosen = edges.limit(0)
+    chosen = Growing(edges.sparkSession, "forest")
+    chosen.add(edges.limit(0))
     while True:
         across = edges.join(own.select(F.col("id").alias("src"), F.col("root").alias("a")), "src").join(own.select(F.col("id").alias("dst"), F.col("root").alias("b")), "dst").where("a <> b")
         least = across.select(F.explode(F.array("a", "b")).alias("root"), F.struct("w", "eid", "src", "dst", "a", "b").alias("e")).groupBy("root").agg(F.min("e").alias("e"))
-        new = stored(least.select("e.*").distinct(), "forest-new")
-        if new.isEmpty():
-            return chosen
-        chosen = stored(chosen.unionByName(new.select("eid", "src", "dst", "w")).distinct(), "forest")
-        merged = components(own.select(F.col("root").alias("id")).distinct(), new.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        own = stored(own.join(merged.select(F.col("id").alias("root"), "component"), "root").select("id", F.col("component").alias("root")), "forest-roots")
+        led = stored(least.select("root", F.when(F.col("root") == F.col("e.a"), F.col("e.b")).otherwise(F.col("e.a")).alias("to"), "e"), "forest-led")
+        if led.isEmpty():
+            return chosen.rows()
+        chosen.add(led.select("e.*").select("eid", "src", "dst", "w").distinct())
+        back = led.select(F.col("root").alias("to"), F.col("to").alias("again"))
+        to = stored(led.join(back, "to").select("root", F.when((F.col("again") == F.col("root")) & (F.col("root") < F.col("to")), F.col("root")).otherwise(F.col("to")).alias("to")), "forest-pointers")
+        while True:
+            twice = to.join(to.select(F.col("root").alias("to"), F.col("to").alias("next")), "to").select("root", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved"))
+            twice = stored(twice, "forest-pointers")
+            to = twice.select("root", "to")
+            if twice.where("moved").isEmpty():
+                break
+        own = stored(own.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "forest-roots")
 
 
 def spanning_tree(nodes: DataFrame, edges: DataFrame, start: int = 0) -> DataFrame:
@@ -55,12 +65,12 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
     cycle or behind one. Ascending (level, id) is a topological order."""
     left = stored(nodes.select("id").distinct(), "order-left")
     rest = stored(edges.select("src", "dst"), "order-edges")
-    placed, level = None, 0
+    placed, level = Growing(nodes.sparkSession, "order"), 0
     while True:
         free = stored(left.join(rest.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(level).alias("level")), "order-free")
+        placed.add(free)
         if free.isEmpty():
-            return (placed if placed is not None else free), left
-        placed = free if placed is None else placed.unionByName(free)
+            return placed.rows(), left
         left = stored(left.join(free, "id", "left_anti"), "order-left")
         rest = stored(rest.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "order-edges")
         level += 1
@@ -101,16 +111,17 @@ def longest_path_by_nodes(nodes: DataFrame, edges: DataFrame, start: int) -> int
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest member. Rounds of forward colouring and backward search: every node learns the
     smallest id that reaches it; what reaches back to that node inside its colour is one component."""
-    left, rest, done = stored(nodes.select("id").distinct(), "scc-left"), stored(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges"), None
+    left, rest, done = stored(nodes.select("id").distinct(), "scc-left"), stored(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges"), Growing(nodes.sparkSession, "scc")
+    done.add(left.limit(0).withColumn("component", F.col("id")))
     while not left.isEmpty():
         colour = _spread(left.select("id", F.col("id").alias("c")), rest)
         inner = rest.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst")
         back = _reach(colour.where("id = c"), stored(transpose(inner), "scc-inner"))
         found = stored(colour.join(back.select("id"), "id", "left_semi").select("id", F.col("c").alias("component")), "scc-found")
-        done = found if done is None else done.unionByName(found)
+        done.add(found)
         left = stored(left.join(found, "id", "left_anti"), "scc-left")
         rest = stored(rest.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti"), "scc-edges")
-    return done if done is not None else nodes.select("id", F.col("id").alias("component"))
+    return done.rows()
 
 
 def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
@@ -147,9 +158,21 @@ def bipartite(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
     return own.where(F.col("component") % 2 == 0).select(F.col("node").alias("id"), F.col("side").cast("int").alias("side"))
 
 
+def core(edges: DataFrame, k: int) -> DataFrame:
+    """(src, dst), src < dst: the edges between nodes that have k neighbours among themselves. Each round takes away the nodes
+    with fewer."""
+    e = stored(simple(edges), "core")
+    while True:
+        few = e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").count().where(F.col("count") < k).select("id")
+        few = stored(few, "core-few")
+        if few.isEmpty():
+            return e
+        e = stored(e.join(few, e["src"] == few["id"], "left_anti").join(few, F.col("dst") == few["id"], "left_anti"), "core")
+
+
 def k5_subgraphs(edges: DataFrame) -> DataFrame:
-    """(a, b, c, d, e) ascending: five nodes that are all linked, by joins that each close what is there."""
-    e = simple(edges)
+    """(a, b, c, d, e) ascending: five nodes that are all linked, by joins that each close what is there, over the 4-core."""
+    e = core(edges, 4)
     names, now = list("abcde"), e.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     for k in range(2, 5):
         step = e.select(F.col("src").alias(names[k - 1]), F.col("dst").alias(names[k]))
@@ -164,11 +187,14 @@ def has_k5(edges: DataFrame) -> bool:
 
 
 def has_k33(edges: DataFrame) -> bool:
-    """Three nodes with three common neighbours, none of the six shared."""
-    e = simple(edges)
+    """Three nodes with three common neighbours, none of the six shared. Only nodes of the 3-core can be among them, so hubs
+    of trees and the like are gone before pairs are made; and triples are made only of pairs with three common ones."""
+    e = core(edges, 3)
     both = e.unionByName(transpose(e))
     pair = both.select("src", F.col("dst").alias("n")).alias("x")
     two = pair.join(both.select(F.col("src").alias("s2"), F.col("dst").alias("n")), "n").where("src < s2")
+    many = stored(two.groupBy("src", "s2").agg(F.count("*").alias("k")).where("k >= 3").select("src", "s2"), "k33-pairs")
+    two = two.join(many, ["src", "s2"], "left_semi")
     three = two.join(both.select(F.col("src").alias("s3"), F.col("dst").alias("n")), "n").where("s2 < s3")
     return not three.groupBy("src", "s2", "s3").agg(F.count("*").alias("k")).where("k >= 3").isEmpty()
 
@@ -195,22 +221,22 @@ def subtree_sizes(edges: DataFrame, root: int) -> DataFrame:
     both = edges.select("src", "dst").unionByName(transpose(edges.select("src", "dst")))
     both = stored(both, "tree-edges")
     level = edges.sparkSession.createDataFrame([(root, None)], "id long, parent long")
-    levels = [level]
+    levels, done = [level], Growing(edges.sparkSession, "subtrees")
     while True:
         nxt = both.join(level, both["src"] == level["id"]).where("parent is null or dst <> parent").select(F.col("dst").alias("id"), F.col("src").alias("parent"))
         level = stored(nxt, "tree-level")
         if level.isEmpty():
             break
         levels.append(level)
-    done, below = None, None
+    below = None
     for level in reversed(levels):
         sized = level.withColumn("size", F.lit(1).cast("long"))
         if below is not None:
             sums = below.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("more"))
             sized = level.join(sums, "id", "left").select("id", "parent", (1 + F.coalesce("more", F.lit(0))).alias("size"))
         below = stored(sized, "tree-sizes")
-        done = below if done is None else done.unionByName(below)
-    return done.select("id", "size")
+        done.add(below)
+    return done.rows().select("id", "size")
 
 
 def gcn(features: DataFrame, edges: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -246,14 +272,24 @@ def _adjacent(pdf: pd.DataFrame, both: bool = False) -> dict[int, list]:
     return out
 
 
+#: Edges that a task is given at most; a kernel holds some 200 bytes for each.
+MOST_EDGES = 10_000_000
+
+
 def in_one_task(edges: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """For algorithms that follow one order through the whole graph; it must fit into one task."""
+    """For algorithms that follow one order through the whole graph; it must fit into one task, or is TooLarge."""
+    if (n := edges.count()) > MOST_EDGES:
+        raise AlgorithmError("TooLarge", f"{n} edges for one task")
     return edges.groupBy().applyInPandas(run, schema)
 
 
 def by_component(nodes: DataFrame, edges: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    root = components(nodes, edges)
-    return edges.join(root, edges["src"] == root["id"]).groupBy("component").applyInPandas(run, schema)
+    """A task for each component; each must fit into one, or is TooLarge."""
+    root = stored(components(nodes, edges), "kernel-components")
+    own = edges.join(root, edges["src"] == root["id"])
+    if bad := own.groupBy("component").count().where(F.col("count") > MOST_EDGES).first():
+        raise AlgorithmError("TooLarge", f"{bad['count']} edges in the component of {bad['component']}")
+    return own.groupBy("component").applyInPandas(run, schema)
 
 
 def visit_order(edges: DataFrame, start: int, depth_first: bool = False) -> DataFrame:
@@ -387,9 +423,13 @@ def min_cost_flow(edges: DataFrame, source: int, sink: int, most: float = float(
 
 
 def karger_cut(edges: DataFrame, trials: int = 100, seed: int = 0) -> DataFrame:
-    """(weight, side array<long>): the least of `trials` random contractions of an undirected graph, run in parallel."""
+    """(weight, side array<long>): the least of `trials` random contractions of an undirected graph, run in parallel. Every
+    executor gets the edges, of which there may be a tenth of MOST_EDGES."""
     weight = F.col("w") if "w" in edges.columns else F.lit(1.0)
-    rows = edges.where("src <> dst").select("src", "dst", weight.alias("w")).toPandas()
+    rows = edges.where("src <> dst").select("src", "dst", weight.alias("w"))
+    if (n := rows.count()) > MOST_EDGES // 10:
+        raise AlgorithmError("TooLarge", f"{n} edges for every executor")
+    rows = rows.toPandas()
     shared = edges.sparkSession.sparkContext.broadcast([(int(a), int(b), float(w)) for a, b, w in rows.itertuples(index=False)])
 
     def run(batches):

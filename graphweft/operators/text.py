@@ -48,14 +48,33 @@ class Automaton:
         return found
 
 
+def _finder(patterns: list[tuple[int, str]]):
+    """A function from texts to matches: a native automaton where the library for it is there, else the one above."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return Automaton(patterns).search
+    words: dict[str, list[int]] = {}
+    for pid, word in patterns:
+        if word:
+            words.setdefault(word, []).append(pid)
+    if not words:
+        return lambda text: []
+    native = ahocorasick.Automaton()
+    for word, pids in words.items():
+        native.add_word(word, pids)
+    native.make_automaton()
+    return lambda text: [(end, pid) for end, pids in native.iter(text) for pid in pids]
+
+
 def find_patterns(texts: DataFrame, patterns: list[tuple[int, str]], key: str = "id", text: str = "text") -> DataFrame:
     """(key, end, pid) of each match in each text. The automaton goes to every task; patterns are a parameter, not data."""
     shared = texts.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches):
-        automaton = Automaton(shared.value)
+        search = _finder(shared.value)
         for pdf in batches:
-            rows = [(k, end, pid) for k, t in zip(pdf["k"], pdf["t"]) for end, pid in automaton.search(t or "")]
+            rows = [(k, end, pid) for k, t in zip(pdf["k"], pdf["t"]) for end, pid in search(t or "")]
             yield pd.DataFrame(rows, columns=[key, "end", "pid"])
 
     return texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, end int, pid int")

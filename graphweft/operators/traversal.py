@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError
-from ..sources.stages import stored
+from ..sources.stages import Growing, stored
 from .paths import weighted
 
 
@@ -76,7 +76,9 @@ def bfs_levels(edges: DataFrame, origin: int, direction: str = "out", budget: Bu
     steps = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
     spark = edges.sparkSession
     level = spark.createDataFrame([(origin, 0)], "node long, level int")
-    seen, depth, count, reads = level.select("node"), 0, 1, 0
+    reached, depth, count, reads = Growing(spark, "bfs-seen"), 0, 1, 0
+    reached.add(level.select("node"))
+    seen = reached.rows()
     reason = "complete"
     while True:
         yield level
@@ -102,7 +104,8 @@ def bfs_levels(edges: DataFrame, origin: int, direction: str = "out", budget: Bu
                 reason = "reads"
             break
         count += new
-        seen = stored(seen.unionByName(level.select("node")), "bfs-seen")
+        reached.add(level.select("node"))
+        seen = reached.rows()
         if budget.reads is not None and reads >= budget.reads:
             yield level
             reason = "reads"
@@ -114,7 +117,7 @@ def bfs_levels(edges: DataFrame, origin: int, direction: str = "out", budget: Bu
 def bfs(edges: DataFrame, origin: int, direction: str = "out", budget: Budget = Budget()) -> tuple[DataFrame, str]:
     """(node, level) of all levels, and why the search ended."""
     stop: list[str] = []
-    out = None
+    out = Growing(edges.sparkSession, "bfs")
     for level in bfs_levels(edges, origin, direction, budget, stop):
-        out = level if out is None else out.unionByName(level)
-    return out, stop[0]
+        out.add(level)
+    return out.rows(), stop[0]

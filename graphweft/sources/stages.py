@@ -9,18 +9,54 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests, one machine), a new folder."""
+    """spark.checkpoint.dir of the session. Where it is unset, a new folder if all of Spark runs in this process; a cluster's
+    executors would not see one, so there it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="graphweft-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def _path(spark: SparkSession, name: str) -> str:
+    """A new table's place. All tables of an application are in one folder, which goes when the driver ends."""
+    own = f"{shared_dir(spark)}/graphweft-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """The rows, written and read again: later rounds start from a table, whatever executor is lost, and plans stay short."""
-    path = f"{shared_dir(df.sparkSession)}/graphweft-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = _path(df.sparkSession, name)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what stored() has written, once nothing that is still to be read comes from it but through a later table."""
+    for table in tables:
+        at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+class Growing:
+    """Rows that rounds add to one table, so that what they make together is one scan, however many rounds there are."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.schema = spark, _path(spark, name), None
+
+    def add(self, rows: DataFrame) -> None:
+        self.schema = self.schema or rows.schema
+        rows.write.mode("append").option("compression", "zstd").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)

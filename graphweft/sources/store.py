@@ -112,8 +112,21 @@ class VersionedStore:
         schema = f"{OPLOG}, ts bigint"
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def _publish(self, rows: DataFrame, ts: int, replaces: list[str] = ()) -> None:
-        folder = uuid.uuid4().hex
+    def last_batch(self) -> int:
+        """The highest number of a stream's batch that is in the store, -1 without any: the names of commits have it."""
+        return max((int(d.rsplit(".b", 1)[1]) for _, d in self.commits() if ".b" in d), default=-1)
+
+    def wait(self, number: int, rows: DataFrame) -> None:
+        """Keeps rows of open transactions for the batch after `number`, and drops those kept two batches ago."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/waiting/{number}")
+        self._fs.delete(self._jvm.Path(f"{self.path}/waiting/{number - 2}"), True)
+
+    def waiting(self, number: int, schema) -> DataFrame | None:
+        path = f"{self.path}/waiting/{number}"
+        return self.spark.read.schema(schema).parquet(path) if self._fs.exists(self._jvm.Path(f"{path}/_SUCCESS")) else None
+
+    def _publish(self, rows: DataFrame, ts: int, replaces: list[str] = (), batch: int | None = None) -> None:
+        folder = uuid.uuid4().hex + ("" if batch is None or batch < 0 else f".b{batch}")
         rows.write.parquet(f"{self.path}/data/{folder}")
         marker = self._jvm.Path(f"{self.path}/commits/_{folder}")
         self._fs.create(marker).close()
@@ -173,18 +186,42 @@ class VersionedStore:
         self._publish(rows.select("lsn", "tx_id", "kind", "node", "edge", "target_id", "ts"), ts)
         return ts
 
-    def gc(self, until: int) -> int:
+    def gc(self, until: int, keep_folders: bool = False) -> int:
         """Drops versions that ended before a time, and folds all commits into one folder; snapshots from `until` on stay
-        as they are. Gives the number of operations dropped."""
+        as they are. The folders that it replaces are deleted, unless keep_folders says that readers still use them; a
+        later remove_orphans() takes them then. Gives the number of operations dropped."""
         log, old = self.log(), [f"{t}-{d}" for t, d in self.commits()]
         tag = F.regexp_extract("kind", "_(.*)", 1)
         per = W.partitionBy("target_id", tag)
         end = F.lead("ts").over(per.orderBy("ts", "lsn"))
         kept = log.withColumn("end", end).where(F.col("end").isNull() | (F.col("end") >= until)).where(~(F.col("kind").startswith("DELETE") & (F.col("ts") < until) & F.col("end").isNull())).drop("end")
         before, after = log.count(), kept.count()
-        self._publish(kept, self.now, old)
+        self._publish(kept, self.now, old, self.last_batch())
+        if not keep_folders:
+            self.remove_orphans()
         return before - after
 
+    def remove_orphans(self) -> int:
+        """Deletes the data folders that no visible commit names, as those of failed writers; gives their number. Not while
+        another writer is at work."""
+        used, data = {d for _, d in self.commits()}, self._jvm.Path(f"{self.path}/data")
+        lost = [x.getPath() for x in self._fs.listStatus(data) if x.getPath().getName() not in used] if self._fs.exists(data) else []
+        for path in lost:
+            self._fs.delete(path, True)
+        return len(lost)
+
+    def write_ahead(self) -> DataFrame:
+        """The log in the schema OPLOG with BEGIN and COMMIT around the operations of each commit, one transaction for each, which
+        replay(), analyse() and undo() read. lsn: as the operations follow each other over all commits."""
+        spread = 1 << 40
+        log = self.log()
+        ops = log.select((F.col("ts") * spread + F.col("lsn") + 1).alias("lsn"), F.col("ts").alias("tx_id"), "kind", "node", "edge", "target_id")
+        none = [F.lit(None).cast(NODE).alias("node"), F.lit(None).cast(EDGE).alias("edge"), F.lit(None).cast("long").alias("target_id")]
+        ends = log.select("ts").distinct()
+        begin = ends.select((F.col("ts") * spread).alias("lsn"), F.col("ts").alias("tx_id"), F.lit("BEGIN").alias("kind"), *none)
+        commit = ends.select(((F.col("ts") + 1) * spread - 1).alias("lsn"), F.col("ts").alias("tx_id"), F.lit("COMMIT").alias("kind"), *none)
+        return ops.unionByName(begin).unionByName(commit)
+
     def inspect(self) -> dict[str, int]:
         """Commits, operations, versions, live elements and bytes."""
         data = self._jvm.Path(f"{self.path}/data")
@@ -231,6 +268,78 @@ def committed(oplog: DataFrame) -> DataFrame:
     return oplog.where(F.col("kind").rlike("^(PUT|DELETE)_")).join(done, "tx_id", "left_semi")
 
 
+def settled(oplog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(operations that count, rows of transactions that are still open): operations count if their transaction has a COMMIT,
+    or neither a BEGIN nor a ROLLBACK."""
+    has = lambda kind: F.max(F.col("kind") == kind)
+    state = oplog.groupBy("tx_id").agg(F.when(has("ROLLBACK"), "gone").when(has("COMMIT"), "done").when(has("BEGIN"), "open").otherwise("done").alias("__state"))
+    both = oplog.join(state, oplog["tx_id"].eqNullSafe(state["tx_id"])).select(oplog["*"], "__state")
+    ready = both.where("__state = 'done'").where(F.col("kind").rlike("^(PUT|DELETE)_"))
+    return ready.drop("__state"), both.where("__state = 'open'").drop("__state")
+
+
+def _history(ops: DataFrame, tag: str) -> DataFrame:
+    """(id, ops): what happens to each element of a kind in a batch, in order; as many rows as the batch touches elements."""
+    steps = F.array_sort(F.collect_list(F.struct("lsn", (F.col("kind") == f"PUT_{tag}").alias("there"))))
+    return ops.where(F.col("kind").endswith(tag)).groupBy(F.col("target_id").alias("id")).agg(steps.alias("steps"))
+
+
+def check_operations(ops: DataFrame, present: PropertyGraph) -> None:
+    """Raises a TransactionError for the first operation, by lsn, that needs an element which is not there at its place: an
+    edge put between nodes, or a node or edge deleted. present: the graph before them."""
+    need = {
+        "NODE": ops.where("kind = 'PUT_EDGE'").select("lsn", F.explode(F.array("edge.src", "edge.dst")).alias("id")).unionByName(ops.where("kind = 'DELETE_NODE'").select("lsn", F.col("target_id").alias("id"))),
+        "EDGE": ops.where("kind = 'DELETE_EDGE'").select("lsn", F.col("target_id").alias("id")),
+    }
+    for tag, wanted in need.items():
+        there = (present.nodes() if tag == "NODE" else present.edges()).select("id").distinct().withColumn("was", F.lit(True))
+        before = F.filter("steps", lambda x: x["lsn"] < F.col("lsn"))
+        rows = wanted.join(_history(ops, tag), "id", "left").join(there, "id", "left")
+        state = F.coalesce(F.try_element_at(before, F.lit(-1))["there"], F.col("was"), F.lit(False))
+        if bad := rows.where(~state).orderBy("lsn", "id").first():
+            raise TransactionError(f"Unknown{tag.capitalize()}", f"{bad['id']}, lsn {bad['lsn']}")
+
+
+def cascade(ops: DataFrame, present: PropertyGraph) -> DataFrame:
+    """The operations with each deleted node's edges deleted too, at the node's lsn: those of before, and those that the
+    operations put before it."""
+    gone = ops.where("kind = 'DELETE_NODE'").groupBy(F.col("target_id").alias("end")).agg(F.max("lsn").alias("gone_at"))
+    edges = present.edges().select(F.lit(-1).cast("long").alias("put_at"), "id", "src", "dst")
+    edges = edges.unionByName(ops.where("kind = 'PUT_EDGE'").select(F.col("lsn").alias("put_at"), "edge.id", "edge.src", "edge.dst"))
+    ends = edges.select("put_at", "id", F.explode(F.array("src", "dst")).alias("end"))
+    lost = ends.join(gone, "end").where("put_at < gone_at").groupBy("id").agg(F.max("gone_at").alias("lsn"))
+    none = [F.lit(None).cast(NODE).alias("node"), F.lit(None).cast(EDGE).alias("edge")]
+    return ops.unionByName(lost.select("lsn", F.lit(None).cast("long").alias("tx_id"), F.lit("DELETE_EDGE").alias("kind"), *none, F.col("id").alias("target_id")))
+
+
+def recover(base: PropertyGraph, state: PropertyGraph, oplog: DataFrame, checkpoint_lsn: int = -1) -> PropertyGraph:
+    """The graph after a crash: what transactions without a COMMIT left in `state` is taken back with the images of `base`, and
+    the committed operations after the checkpoint are done again, which changes nothing where they were done before."""
+    clean, _ = undo(state, oplog, base)
+    return replay(truncate(oplog, checkpoint_lsn), clean)
+
+
+def rotate(oplog: DataFrame, most_rows: int) -> DataFrame:
+    """Adds `segment`: files of about most_rows rows in the order of lsn, by ranges that a sort finds, so that a truncation drops
+    whole segments."""
+    n = max(1, -(-oplog.count() // most_rows))
+    return oplog.repartitionByRange(n, "lsn").withColumn("segment", F.spark_partition_id())
+
+
+ACID = {
+    "atomicity": "a commit's marker is renamed into place: readers see all of its operations or none",
+    "consistency": "operations are checked against the snapshot that they change; check() finds what is wrong all the same",
+    "isolation": "snapshot: a reader's time stamp fixes what it sees; one writer at a time, so commits are serial",
+    "durability": "rows are written to the store's folder before the marker; log replay and recover() rebuild a state",
+}
+
+
+def isolation_report(spark: SparkSession) -> DataFrame:
+    """(anomaly, possible): what a reader or writer of the store can meet."""
+    seen = {"dirty_read": False, "non_repeatable_read": False, "phantom_read": False, "lost_update": False, "write_skew": False}
+    return spark.createDataFrame(list(seen.items()), "anomaly string, possible boolean")
+
+
 def replay(oplog: DataFrame, base: PropertyGraph) -> PropertyGraph:
     """The graph after the committed operations in the order of lsn. The last operation on an element decides, so doing
     it twice changes nothing; edges that a later deletion of an end took away stay away."""
@@ -284,4 +393,4 @@ def check(graph: PropertyGraph) -> DataFrame:
     return out
 
 
-__all__ = ["EDGES", "NODES", "OPLOG", "Operation", "Transaction", "VersionedStore", "analyse", "check", "committed", "delete_edge", "delete_node", "put_edge", "put_node", "replay", "simulate", "truncate", "undo"]
+__all__ = ["ACID", "EDGES", "NODES", "cascade", "check_operations", "isolation_report", "recover", "rotate", "settled", "OPLOG", "Operation", "Transaction", "VersionedStore", "analyse", "check", "committed", "delete_edge", "delete_node", "put_edge", "put_node", "replay", "simulate", "truncate", "undo"]

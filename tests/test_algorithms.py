@@ -52,8 +52,7 @@ def plain_distances(n, edges, s):
 
 def test_dijkstra_and_paths(spark, demo):
     _, _, hops = demo
-    d = as_dict(G.dijkstra(hops, 0).select("node", "dist"))
-    assert d[2] == 2 and d[5] == 2 and 3 not in d
+    assert as_dict(G.dijkstra(hops, 0).select("node", "dist")) == {0: 0, 1: 1, 2: 2, 5: 1, 6: 3}
     rows = random_edges(30, 80, 1)
     e = edges_of(spark, rows)
     found = G.dijkstra(e, 0).cache()
@@ -86,35 +85,64 @@ def test_dirty_weights(spark, value, kind):
         G.weighted(g, "w")
 
 
-def test_roads(spark):
-    at = [(i, float(x), float(y)) for i, x, y in [(0, 0, 0), (1, -130, 140), (2, -190, 200), (3, 190, 130), (4, 380, 180), (5, 230, -170), (6, -60, -330)]]
-    roads = [(0, 3, 240), (3, 4, 200), (0, 4, 460), (0, 1, 195), (1, 2, 90), (0, 5, 290), (5, 3, 310), (5, 4, 390), (0, 6, 340)]
-    e = edges_of(spark, roads + [(b, a, w) for a, b, w in roads])
-    v = spark.createDataFrame(at, "id long, x double, y double")
-    h = v.withColumn("h", G.euclidean(v, "x", "y", 4))
-    assert [r["node"] for r in G.a_star(e, 0, 4, h.select("id", "h")).orderBy("step").collect()] == [0, 3, 4]
+def test_a_star_between_random_points(spark):
+    rng = random.Random(12)
+    at = {i: (rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(25)}
+    straight = lambda a, b: math.hypot(at[a][0] - at[b][0], at[a][1] - at[b][1])
+    ways = [(a, b, straight(a, b) * rng.uniform(1, 1.6)) for a, b in combinations(at, 2) if straight(a, b) < 35]
+    both = ways + [(b, a, w) for a, b, w in ways]
+    e = edges_of(spark, both)
+    v = spark.createDataFrame([(i, x, y) for i, (x, y) in at.items()], "id long, x double, y double")
+    want = plain_distances(25, both, 0)
+    target = max(want, key=want.get)
+    h = v.withColumn("h", G.euclidean(v, "x", "y", target))
+    way = G.a_star(e, 0, target, h.select("id", "h")).orderBy("step").collect()
+    assert way[0]["node"] == 0 and way[-1]["node"] == target and way[-1]["dist"] == pytest.approx(want[target])
     assert G.check_consistency(e, h, "h") is None
     assert G.check_consistency(e, h.withColumn("h", F.col("h") * 9), "h") is not None
 
 
+def test_johnson(spark):
+    height = [random.Random(6).uniform(0, 9) for _ in range(14)]
+    r = random.Random(7)
+    rows = [(a, b, height[b] - height[a] + r.uniform(0, 5)) for a, b in ((r.randrange(14), r.randrange(14)) for _ in range(40)) if a != b]
+    assert min(w for _, _, w in rows) < 0
+    e = edges_of(spark, rows)
+    h = as_dict(G.potentials(e))
+    assert all(w + h[a] - h[b] >= -1e-9 for a, b, w in rows)
+    got = {(x["src"], x["dst"]): x["dist"] for x in G.johnson(e).collect()}
+    want = {(s, t): d for s in h for t, d in plain_distances(14, rows, s).items()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    with pytest.raises(AlgorithmError, match="NegativeCycle"):
+        G.potentials(edges_of(spark, [(0, 1, 1), (1, 0, -2)]))
+
+
 def test_all_pairs(spark):
     rows = random_edges(12, 30, 4)
     got = {(r[0], r[1]): r[2] for r in G.all_pairs(edges_of(spark, rows)).collect()}
     assert got == {(s, t): d for s in {x for a, b, _ in rows for x in (a, b)} for t, d in plain_distances(12, rows, s).items()}
 
 
+def plain_page_rank(n, pairs, t, rounds=400, d=0.85):
+    deg = [sum(a == i for a, _ in pairs) for i in range(n)]
+    x = list(t)
+    for _ in range(rounds):
+        lost = sum(x[i] for i in range(n) if not deg[i])
+        x = [(1 - d) * t[j] + d * (sum(x[a] / deg[a] for a, b in pairs if b == j) + lost / n) for j in range(n)]
+    return x
+
+
 def test_centrality_values(spark, demo):
     _, v, e = demo
-    assert {k: round(x, 2) for k, x in as_dict(C.degree(v, e).rows).items()} == {0: 0.4, 1: 0.4, 2: 0.2, 3: 0.2, 4: 0, 5: 0}
+    pairs = [(r["src"], r["dst"]) for r in e.collect()]
+    assert as_dict(C.degree(v, e).rows) == pytest.approx({i: sum(a == i for a, _ in pairs) / 7 for i in range(8)})
     rank = C.page_rank(v, e, tolerance=1e-12, rounds=200)
-    p = as_dict(rank.rows)
-    assert p[3] == pytest.approx(0.3855087315) and p[0] == pytest.approx(0.1510610136) and p[1] == pytest.approx(p[4]) and p[2] == pytest.approx(p[5])
-    assert rank.total_mass() == pytest.approx(1) and rank.top(1).first()["id"] == 3 and rank.converged
-    chain = C.page_rank(nodes_of(spark, 3), edges_of(spark, [(0, 1), (1, 2)]), tolerance=1e-12, rounds=200)
-    assert [as_dict(chain.rows)[i] for i in range(3)] == pytest.approx([0.18441678192715533, 0.34117104656523745, 0.47441217150760706])
-    two = C.page_rank(nodes_of(spark, 4), edges_of(spark, [(0, 1), (1, 0), (2, 3), (3, 2)]), tolerance=1e-12, rounds=300, seeds={0: 2.0})
-    x = 0.15 / (1 - 0.85**2)
-    assert [as_dict(two.rows)[i] for i in range(4)] == pytest.approx([x, 0.85 * x, 0, 0])
+    want = plain_page_rank(8, pairs, [1 / 8] * 8)
+    assert [as_dict(rank.rows)[i] for i in range(8)] == pytest.approx(want)
+    assert rank.total_mass() == pytest.approx(1) and rank.top(1).first()["id"] == max(range(8), key=want.__getitem__) and rank.converged
+    few = [(0, 1), (1, 2), (3, 1), (3, 3)]
+    seeded = C.page_rank(nodes_of(spark, 4), edges_of(spark, few), tolerance=1e-13, rounds=400, seeds={0: 2.0, 3: 1.0})
+    assert [as_dict(seeded.rows)[i] for i in range(4)] == pytest.approx(plain_page_rank(4, few, [2 / 3, 0, 0, 1 / 3]))
     for bad, kind in (({"damping": 1.0}, "InvalidDamping"), ({"tolerance": 0.0}, "InvalidTolerance"), ({"rounds": 0}, "InvalidMaxIterations"), ({"seeds": {0: -1.0}}, "NegativeTeleportWeight"), ({"seeds": {0: 0.0}}, "ZeroTeleportMass"), ({"seeds": {77: 1.0}}, "UnknownNode")):
         with pytest.raises(AlgorithmError, match=kind):
             C.page_rank(v, e, **bad)
@@ -164,16 +192,16 @@ def test_louvain_by_component_is_the_whole_run(spark):
 
 def test_bfs_and_projection(spark, demo):
     g, _, hops = demo
-    assert [sorted(r["node"] for r in lv.collect()) for lv in R.bfs_levels(hops, 0, budget=R.Budget(depth=1))] == [[0], [1, 4]]
+    assert [sorted(r["node"] for r in lv.collect()) for lv in R.bfs_levels(hops, 0, budget=R.Budget(depth=1))] == [[0], [1, 5]]
     rows, why = R.bfs(hops, 0)
-    assert as_dict(rows) == {0: 0, 1: 1, 4: 1, 2: 2, 5: 2} and why == "complete"
+    assert as_dict(rows) == {0: 0, 1: 1, 5: 1, 2: 2, 6: 3} and why == "complete"
     assert R.bfs(hops, 0, budget=R.Budget(depth=1))[1] == "depth"
     capped, why = R.bfs(hops, 0, budget=R.Budget(nodes=2))
     assert why == "nodes" and as_dict(capped) == {0: 0, 1: 1}
-    assert R.bfs(hops, 0, budget=R.Budget(reads=1))[1] == "reads" and as_dict(R.bfs(hops, 5, "in")[0]) == {5: 0, 1: 1, 0: 2, 2: 3}
-    p = R.project(g, labels=["Person"], types=["KNOWS"])
-    assert p.stats == {"nodes": 4, "edges": 4, "edges_scanned": 4, "discarded": 0} and as_dict(p.out_degrees())[3] == 1
-    assert sorted(as_dict(p.blocks(3)).values()) == [0, 0, 0, 1] and R.project(g, labels=["Person"]).stats["discarded"] == 2
+    assert R.bfs(hops, 0, budget=R.Budget(reads=1))[1] == "reads" and as_dict(R.bfs(hops, 5, "in")[0]) == {5: 0, 0: 1, 1: 1, 3: 2}
+    p = R.project(g, labels=["Ship"], types=["MEETS"])
+    assert p.stats == {"nodes": 5, "edges": 5, "edges_scanned": 5, "discarded": 0} and as_dict(p.out_degrees())[0] == 2
+    assert sorted(as_dict(p.blocks(3)).values()) == [0, 0, 0, 1, 1] and R.project(g, labels=["Ship"]).stats["discarded"] == 4
 
 
 def plain_scc(n, pairs):

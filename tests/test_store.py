@@ -50,7 +50,7 @@ def test_load_and_check(spark, tmp_path):
     g = demo_graph(spark)
     s = S.VersionedStore(spark, str(tmp_path / "g"))
     s.load(g.nodes(whole=True), g.edges(whole=True))
-    assert s.snapshot().edge_count() == 6 and S.check(s.snapshot()).isEmpty()
+    assert s.snapshot().edge_count() == g.edge_count() == 9 and S.check(s.snapshot()).isEmpty()
     bad = PropertyGraph.from_rows(spark, [(0, [], {}), (0, [], {})], [(1, 0, 9, "R", {}), (1, 8, 0, "R", {})])
     assert sorted(r["issue"] for r in S.check(bad).collect()) == ["dangling_dst", "dangling_src", "duplicate_edge", "duplicate_node"]
 
