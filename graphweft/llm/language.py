@@ -55,98 +55,89 @@ def gram_vectors(codes: np.ndarray) -> np.ndarray:
     return np.roll(v, 2, axis=1)[codes >> (2 * SHIFT)] * np.roll(v, 1, axis=1)[(codes >> SHIFT) & mask] * v[codes & mask]
 
 
+def _bundle(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The sum of the codes' vectors, each as often as its weight."""
+    out = np.zeros(DIMENSIONS)
+    for lo in range(0, len(codes), 4096):
+        out += weights[lo : lo + 4096].astype(np.float32) @ gram_vectors(codes[lo : lo + 4096]).astype(np.float32)
+    return out
+
+
+def vector(text: str) -> tuple[np.ndarray, int]:
+    """The bundle of a text's grams, each as often as the root of its count, so that no passage that repeats outweighs the
+    rest; and the number of grams."""
+    codes = grams(text)
+    seen, n = np.unique(codes, return_counts=True)
+    return _bundle(seen, np.sqrt(n)), len(codes)
+
+
 @dataclass
 class Profiles:
-    """Prototypes of the languages, and each known gram's product with each of them."""
+    """The languages and their prototypes."""
 
     languages: list[str]
-    codes: np.ndarray
     prototypes: np.ndarray
-    products: np.ndarray
-
-    def vector(self, text: str) -> np.ndarray:
-        """The bundle of a text's known grams, each as often as the root of its count, so that no passage that repeats outweighs the rest."""
-        codes, counts = np.unique(grams(text), return_counts=True)
-        known = np.isin(codes, self.codes)
-        return np.sqrt(counts[known]) @ gram_vectors(codes[known]).astype(np.float64) if known.any() else np.zeros(DIMENSIONS)
 
 
 def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text") -> Profiles | None:
-    """Profiles from all rows where `train` holds and lang is not null; None without such rows with letters.
+    """Profiles from all rows where `train` holds and lang is not null; None without such rows with letters, as where a
+    table or a partition is empty.
 
-    Grams are counted over all those rows; what reaches the driver is at most SYMBOLS^3 numbers a language. Each document
-    adds the root of each gram's count, so that no repeated word outweighs the rest. A language's bundle has a gram's
-    vector as often as its share of what the language's documents add, less the mean share in all languages, so that
-    what languages have in common doesn't make them alike.
+    Each document adds the root of each gram's count, so that no repeated word outweighs the rest. A language's bundle has a
+    gram's vector as often as its share of what the language's documents add, less the mean share in all languages, so that
+    what languages have in common doesn't make them alike. Bundles are sums, so each task adds up its own: for each language
+    that it has rows of one bundle and one weight go to the shuffle, and DIMENSIONS numbers a language reach the driver.
     """
 
-    def count(batches):
+    def add(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
+            parts: dict[str, list[np.ndarray]] = {}
             for name, x in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                codes = grams(x.as_py() or "")
+                codes, n = np.unique(grams(x.as_py() or ""), return_counts=True)
                 if len(codes):
-                    if name not in held:
-                        held[name] = np.zeros(SYMBOLS**3)
-                    seen, n = np.unique(codes, return_counts=True)
-                    held[name][seen] += np.sqrt(n)
-        for name, n in held.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.float64())], names=["lang", "code", "n"])
+                    parts.setdefault(name, []).append(np.stack([codes, np.sqrt(n)]))
+            for name, found in parts.items():
+                both = np.concatenate(found, axis=1)
+                codes, where = np.unique(both[0], return_inverse=True)
+                weights = np.bincount(where, both[1])
+                held[name] = held.get(name, 0) + np.append(_bundle(codes.astype(np.int64), weights), weights.sum())
+        for name, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(total), pa.string()), pa.array(range(len(total)), pa.int32()), pa.array(total, pa.float64())], names=["lang", "i", "x"])
 
     rows = docs.where(train & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    table = rows.mapInArrow(count, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    table = rows.mapInArrow(add, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x")).toPandas()
     if not len(table):
         return None
-    languages, codes = sorted(table["lang"].unique()), np.sort(table["code"].unique()).astype(np.int64)
-    share = np.zeros((len(codes), len(languages)))
-    share[np.searchsorted(codes, table["code"]), [languages.index(x) for x in table["lang"]]] = table["n"]
-    share /= share.sum(0)
-    share -= share.mean(1, keepdims=True) if len(languages) > 1 else 0
-    prototypes = np.zeros((len(languages), DIMENSIONS))
-    for lo in range(0, len(codes), 4096):
-        prototypes += share[lo : lo + 4096].T @ gram_vectors(codes[lo : lo + 4096])
-    unit = prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-300)
-    products = np.concatenate([gram_vectors(codes[lo : lo + 4096]) @ unit.T for lo in range(0, len(codes), 4096)])
-    return Profiles(languages, codes, prototypes, products.astype(np.float32))
+    languages = sorted(table["lang"].unique())
+    sums = np.zeros((len(languages), DIMENSIONS + 1))
+    sums[[languages.index(x) for x in table["lang"]], table["i"]] = table["x"]
+    shares = sums[:, :-1] / sums[:, -1:]
+    return Profiles(languages, shares - (shares.mean(0) if len(languages) > 1 else 0))
 
 
-def _scorer(profiles: Profiles | None, whole: bool):
-    """A function from texts to (language or und, cosine cut to 0..1, number of grams); whole: unknown grams count in the
-    bundle's length."""
+def scorer(profiles: Profiles | None):
+    """A function from texts to (language or und, cosine cut to 0..1, number of grams): the cosine of a text's bundle with
+    each prototype, both in full. Ties go to the first language."""
     if profiles is None:
         return lambda text: ("und", 0.0, 0)
-    place = np.full(SYMBOLS**3, len(profiles.codes), dtype=np.int32)
-    place[profiles.codes] = np.arange(len(profiles.codes))
+    unit = profiles.prototypes / np.maximum(np.linalg.norm(profiles.prototypes, axis=1, keepdims=True), 1e-300)
 
     def score(text: str | None) -> tuple[str, float, int]:
-        codes = grams(text or "")
-        if not len(codes):
+        bundle, n = vector(text or "")
+        if not n:
             return "und", 0.0, 0
-        n = np.sqrt(np.bincount(place[codes], minlength=len(profiles.codes) + 1)[:-1].astype(np.float32))
-        # a gram's weight is the root of its count, so the squares of all weights add up to the number of grams
-        length = np.sqrt(DIMENSIONS * (len(codes) if whole else float(n @ n)))
-        cosine = (n @ profiles.products) / length if length else np.zeros(len(profiles.languages))
+        cosine = unit @ bundle / max(float(np.linalg.norm(bundle)), 1e-300)
         best = int(np.argmax(cosine))
-        return profiles.languages[best], float(min(1.0, max(0.0, cosine[best]))), len(codes)
+        return profiles.languages[best], float(min(1.0, max(0.0, cosine[best]))), n
 
     return score
 
 
-def scorer(profiles: Profiles | None):
-    """A function from texts to (language or und, cosine cut to 0..1).
-
-    The product of a text's bundle with a prototype is the sum of its grams' products, so the order of the languages
-    by cosine is that of the vectors themselves. The bundle's length, the same for all languages, is taken as
-    sqrt(DIMENSIONS * sum of squared weights), which it is for orthogonal gram vectors, as random ones nearly are.
-    """
-    score = _scorer(profiles, False)
-    return lambda text: score(text)[:2]
-
-
 def predict(docs: DataFrame, profiles: Profiles | None, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of docs with lang_pred and score. `und` and 0 for a null text, one without letters, or without
-    profiles; ties go to the first language by name. Whole texts of any length; each row by itself."""
+    profiles; ties go to the first language by name. Whole texts of any length; each row by itself, so null keys and repeated
+    rows have theirs; no rows: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
@@ -165,7 +156,7 @@ def limits(docs: DataFrame, train: Column, profiles: Profiles | None, text: str
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
-        score = _scorer(shared.value, True)
+        score = scorer(shared.value)
         for batch in batches:
             found = [(n.bit_length() - 1, int(1000 * value)) for _, value, n in (score(x.as_py()) for x in batch.column("text")) if n]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32())], names=["i", "s"])
@@ -192,7 +183,7 @@ def recognised(docs: DataFrame, profiles: Profiles | None, least_score: float =
 
     @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = _scorer(shared.value, True)
+        score = scorer(shared.value)
         for batch in texts:
             found = [score(x) for x in batch]
             yield pd.Series([name != "und" and value >= max(least_score, least_by_length[n.bit_length() - 1] if least_by_length else 0) for name, value, n in found], dtype=bool)
