@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import few, stored
 
 #: A text of more characters is encoded in runs of about so many, cut before white space.
 RUN = 1 << 18
@@ -55,6 +55,14 @@ def _words(spec: dict):
     return lambda text: pattern.findall(text.lower())
 
 
+def lowers_and_blanks(path: str) -> bool:
+    """Whether normalised() leaves the counts of this tokenizer as they are: it lower-cases and takes runs of white space as one."""
+    if path.endswith(".model"):
+        return False
+    with open(path, encoding="utf-8") as file:
+        return _words(json.load(file)) is not None
+
+
 @functools.lru_cache(4)
 def _load(path: str):
     """A function from texts to their counts. Where the tokenizer works word by word, the library encodes each different
@@ -170,22 +178,34 @@ def cached_counts(spark: SparkSession, cache: str) -> DataFrame:
     return spark.read.schema(schema).parquet(cache)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text", lower_and_blank: bool = True) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text", lower_and_blank: bool | None = None) -> DataFrame:
     """Adds n_tokens, what the tokenizer file's library gives for each whole text without special tokens.
 
-    The digest of each normalised text is joined to the stored counts of this tokenizer version; texts without one
-    are reduced to one for each digest before the shuffle, encoded once, and appended to the cache (a Parquet folder
-    that all executors reach). Written counts are read again, so a lost executor costs no second encoding.
-    lower_and_blank: the tokenizer lower-cases and takes runs of white space as one; else texts are keyed as they are.
-    Null and empty text: 0 tokens. Repeated rows and texts: each row gets its count. Other columns stay as they are
-    (a column n_tokens is replaced). A text of any length is counted whole, in runs cut at white space.
+    The digest of each normalised text is joined to the stored counts of this tokenizer version; of the texts without one,
+    one for each digest is encoded and appended to the cache (a Parquet folder that all executors reach). Where the cache
+    holds counts, digests alone are looked up first, and texts are moved only for those that it misses; where it holds none,
+    texts are reduced to one for each digest before the shuffle. Written counts are read again, so a lost executor costs no
+    second encoding.
+    lower_and_blank: the tokenizer lower-cases and takes runs of white space as one, so texts are keyed that way; None: as its
+    file says. Else texts are keyed as they are.
+    Null and empty text: 0 tokens. Repeated rows and texts: each row gets its count; no rows: no rows. Other columns stay as
+    they are (a column n_tokens is replaced). A text of any length is counted whole, in runs cut at white space.
     """
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
+    if lower_and_blank is None:
+        lower_and_blank = lowers_and_blanks(tokenizer)
     whole = F.coalesce(F.col(text), F.lit(""))
     norm = normalised(whole) if lower_and_blank else whole
     digest = F.unhex(F.sha2(norm.cast("binary"), 256))
     known = cached_counts(spark, cache).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    missing = docs.select(norm.alias("norm")).withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256))).dropDuplicates(["digest"]).join(known, "digest", "left_anti")
+    texts = docs.select(norm.alias("norm")).withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    if known.isEmpty():
+        missing = texts.dropDuplicates(["digest"])
+    else:
+        wanted = stored(docs.select(digest.alias("digest")).distinct().join(known, "digest", "left_anti"), "token-misses")
+        sent = few(wanted)
+        # a broadcast leaves texts where they are until one of each is left; else they are dealt out once, one of each from each task
+        missing = texts.join(sent, "digest", "left_semi").dropDuplicates(["digest"]) if sent is not wanted else texts.dropDuplicates(["digest"]).join(wanted, "digest", "left_semi")
     fresh = missing.select("digest", "norm").mapInArrow(_encoder(tokenizer, lower_and_blank), "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache)
     # stored once more without repeats, so that the join below reads it plainly and a hot digest's rows can be split
