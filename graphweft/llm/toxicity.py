@@ -21,8 +21,8 @@ REPORTS = "said says say wrote writes called claims claimed reported according q
 INSULTS = "idiot moron imbecile cretin bastard asshole dumbass".split()
 #: Bounds of the sample of labelled rows of either label that the lexicon and the weights are fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
-#: Entries of a learned lexicon; documents that must hold one; the least share of toxic ones among them.
-MOST_ENTRIES, LEAST_DOCS, LEAST_SHARE = 4000, 3, 0.8
+#: Documents of the sample that must hold an entry of a learned lexicon; the least share of toxic ones among them.
+LEAST_DOCS, LEAST_SHARE = 3, 0.8
 #: Lengths of word beginnings that can be an entry, written with a star.
 STEMS = (4, 5, 6, 7)
 #: Tokens that a negation reaches.
@@ -167,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
 
     The lexicon has the words and beginnings of words of which at least LEAST_SHARE of LEAST_DOCS or more documents are
     toxic; a beginning only where it says more than its words. The weights of the grammar's matches are then fitted by
-    logistic regression, weighted back to all labelled rows. Without toxic labels the general words alone count.
+    logistic regression, weighted back to all labelled rows. Without toxic labels, as on empty tables, the general words alone
+    count. The lexicon takes every such entry: what the sample's documents hold bounds it, and that alone reaches the driver.
     """
     truth = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     keys = docs.where(train).select("doc_id").distinct().join(truth, "doc_id")
@@ -188,13 +189,19 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     lift = max(1, size.get(1, 0)) / max(1, size.get(0, 0))
     share = F.col("bad") / (F.col("bad") + F.col("good") * F.lit(lift))
     counted = rows.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    picked = counted.where((F.col("bad") >= LEAST_DOCS) & (share >= LEAST_SHARE) & (F.col("good") <= 0.02 * F.col("bad"))).orderBy(F.desc("bad"), "good", "term").limit(MOST_ENTRIES).collect()
+    picked = counted.where((F.col("bad") >= LEAST_DOCS) & (share >= LEAST_SHARE) & (F.col("good") <= 0.02 * F.col("bad"))).collect()
     found = {r["term"]: (r["bad"], r["good"]) for r in picked}
     weights = {t: float(np.log((b + 0.5) / (g + 0.5))) / 5 for t, (b, g) in found.items()}
-    for t in sorted(found, key=len):
+    longer: dict[str, int] = {}
+    for w, (bad, _) in found.items():
+        word = w.rstrip("*")
+        for n in STEMS:
+            if len(word) > n or (len(word) == n and not w.endswith("*")):
+                longer[word[:n]] = max(longer.get(word[:n], 0), bad)
+    for t, (bad, _) in found.items():
         # a beginning that a whole word explains, or one that a longer one explains, adds nothing
-        if t.endswith("*") and any(found[w][0] >= 0.9 * found[t][0] for w in found if w != t and w.rstrip("*").startswith(t[:-1])):
-            weights.pop(t, None)
+        if t.endswith("*") and longer.get(t[:-1], 0) >= 0.9 * bad:
+            del weights[t]
     lexicon = Lexicon(weights)
 
     def featured(batches):
