@@ -106,6 +106,13 @@ def chain_keys(m: int, length: int, limit: int) -> list[tuple[int, int, tuple[tu
     return out
 
 
+def further(mask: int, limit: int) -> list[int]:
+    """The bits outside a key in limit + 1 parts, each with the key: fingerprints that agree in the key and differ in at most
+    `limit` bits agree in one of them."""
+    rest = [1 << i for i in range(BITS) if not mask >> i & 1]
+    return [mask | sum(rest[i * len(rest) // (limit + 1) : (i + 1) * len(rest) // (limit + 1)]) for i in range(limit + 1)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -116,6 +123,7 @@ def _forest(fp: np.ndarray, key: np.ndarray, begins: np.ndarray, keys: list, lim
     n = len(fp)
     ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
     prefixes = [[(np.uint64(bits), most) for bits, most in p] for _, _, p in keys]
+    key = key % len(keys)  # a part of a crowded bucket has its key's budgets
     root, active, lag = np.arange(n), np.arange(n), 1
     while len(active := active[active + lag < ends[active]]):
         diff = fp[active] ^ fp[active + lag]
@@ -173,17 +181,25 @@ def links(classes: DataFrame, limit: int = 4, segments_of: tuple[int, int] | Non
     differing bits connect. Inside a bucket each fingerprint is paired with the first that such pairs lead to.
 
     Each fingerprint goes to a bucket for each key of chain_keys(); a bucket's members are compared with each other,
-    by the budgets of the chain's prefixes and then by all bits. A bucket of over BLOCK members is dealt out in blocks,
-    each pair of blocks to a task of its own, so no task holds more than two blocks; inside a bucket only links that
-    connect something new are given. The ladder gives more key bits to more fingerprints, so buckets stay short.
+    by the budgets of the chain's prefixes and then by all bits. A bucket of over BLOCK members gives way to buckets of the
+    key and a part of the other bits; one that is still as large is dealt out in blocks, each pair of blocks to a task of its
+    own, so no task holds more than two blocks. Inside a bucket only links that connect something new are given. The ladder
+    gives more key bits to more fingerprints, so buckets stay short.
     """
     n = classes.count()
     m, length = segments_of or next((m, k) for most, m, k in LADDER if n <= most)
     keys = chain_keys(m, length, limit)
     spread = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("v")) for i, (_, mask, _) in enumerate(keys)]))
     rows = classes.select("fp", spread.alias("e")).select("e.k", "e.v", "fp")
-    large = stored(rows.groupBy("k", "v").count().where(F.col("count") > BLOCK), "simhash-large")
-    zero = F.lit(0).cast("long")
+    crowded = lambda r: stored(r.groupBy("k", "v").count().where(F.col("count") > BLOCK), "simhash-large")
+    zero, large = F.lit(0).cast("long"), crowded(rows)
+    if not large.isEmpty():
+        parts = [F.array(*[F.lit(_signed(x)) for x in further(mask, limit)]) for _, mask, _ in keys]
+        own = F.element_at(F.array(*parts), (F.col("k") + 1).cast("int"))
+        finer = rows.join(large.select("k", "v"), ["k", "v"]).select("k", "fp", F.posexplode(own).alias("part", "bits"))
+        finer = finer.select((F.col("k") + len(keys) * (F.col("part") + 1)).alias("k"), F.col("fp").bitwiseAND(F.col("bits")).alias("v"), "fp")
+        rows = stored(rows.join(large, ["k", "v"], "left_anti").unionByName(finer), "simhash-buckets")
+        large = crowded(rows)
     if large.isEmpty():
         dealt = rows.select("k", "v", zero.alias("i"), zero.alias("j"), "fp")
     else:
