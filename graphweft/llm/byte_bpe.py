@@ -7,6 +7,7 @@ import functools
 import hashlib
 from itertools import chain
 
+import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 #: A text of at most so many characters is a leaf of the tree.
 LEAF = 1 << 14
-#: A match that starts so near the end of the text may change with what follows: the longest literal of the pattern.
+#: A match that starts so near the end of the text may change with what follows: the longest literal of the one pattern that
+#: the tree is proved for, the public tokenizers' own.
 AHEAD = 3
 #: Pieces remembered by a worker, and the longest one remembered.
 MEMO, LONGEST = 1 << 18, 40
@@ -32,6 +34,8 @@ class Codec:
     """
 
     def __init__(self, path: str, pattern: str, leaf: int = LEAF):
+        if pattern != public_tokenizers.PATTERN:
+            raise ValueError("how far this pattern looks ahead is not known")
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

@@ -1,38 +1,19 @@
-"""What the operators of this subpackage share: stored stages, range-order prefix sums and connected components."""
+"""What the operators of this subpackage share: range-order prefix sums and connected components, over the library's stored
+stages."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import community
+from ..sources.stages import forget, shared_dir, stored
+
 #: White space of the word rule, inside a character class.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests, one machine) a new one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="graphweft-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """The rows, written as a table in the shared folder and read again. It cuts the lineage, and what reads it
-    sees the same rows if an executor is lost later."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphweft-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of one number that may be sent to every task: some 50 MB there.
 FEW = 1 << 20
 
@@ -67,31 +48,11 @@ def ordered(df: DataFrame, name: str, order: list[str], group: str, sums: dict[s
 
 
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each end of an edge (a, b) can reach. Large-star and small-star
-    rounds over tables in the shared folder until the edges no longer change; every step keeps at most one row for
-    an edge, and minima are combined before each shuffle. Minima are written before edges are joined to them: both sides
-    of the join are then plain shuffles, so AQE splits the rows of a hub among tasks. Nulls and loops are left out;
-    nodes without an edge don't appear."""
-    kind = edges.schema["a"].dataType
-    now = stored(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").cast(kind).alias("a"), F.least("a", "b").cast(kind).alias("b"))
-        .distinct(),
-        name,
-    )
-    seen = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.where("a <> b").distinct(), f"{name}-large")
-        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-down")
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = stored(small.where("a <> b").distinct(), name)
-        mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
-    else:
-        raise RuntimeError(f"{rounds} rounds were not enough")
+    """(node, component): the smallest node that each end of an edge (a, b) can reach, by the library's rounds of stars.
+    Nulls and loops are left out; nodes without an edge don't appear."""
+    ends = edges.where("a is not null and b is not null and a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    now = community.stars(ends, name, rounds)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+__all__ = ["SPACE", "components", "few", "forget", "ordered", "partitions", "shared_dir", "stored"]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, few, stored
+from .common import components, few, forget, stored
 from .simhash import LOWER, SEED
 
 #: Texts whose shingles are counted to tell frequent ones, how often one must occur there, and how many are told at most.
@@ -24,7 +24,7 @@ STARS, SPOKES = 1, 4
 #: Bits of a set's parities: in how many two sets differ is at most the number of shingles that only one of them has.
 PARITIES = 512
 #: A pair is left out of a bucket if it has met in one of so many buckets before.
-BEFORE = 64
+BEFORE = 16
 #: A bucket of more members is compared in blocks of about so many.
 BLOCK = 1024
 
@@ -111,7 +111,7 @@ def _may_by_bits(x: str, y: str, least: Fraction) -> Column:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough. Only the texts of classes that stand in a pair are moved:
+    """The pairs (a, b), a stored table that goes, of classes whose sets are similar enough. Only the texts of classes that stand in a pair are moved:
     the classes are sent to the tasks where few() bounds them, else both sides are dealt out."""
 
     def sets(batches):
@@ -129,11 +129,14 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, least: Fraction) -
                 good.append(both * least.denominator >= (len(x) + len(y) - both) * least.numerator)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ends = few(stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "jaccard-ends"))
+    apart = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "jaccard-ends")
+    ends = few(apart)
     one = texts.select("cls", "text").join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
     held = stored(one.mapInArrow(sets, "cls long, h binary"), "jaccard-sets")
     both = pairs.join(held.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "jaccard-links")
+    good = stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "jaccard-links")
+    forget(held, apart, pairs)
+    return good
 
 
 def by_simhash(classes: DataFrame, limit: int = 4) -> DataFrame:
@@ -160,8 +163,9 @@ def links(texts: DataFrame, classes: DataFrame, words: int = 5, least: float = 0
     found = _verified(texts, stored(by_simhash(classes), "jaccard-pairs"), words, part)
     first = stored(_prefixes(texts, words, part, _frequent(texts, words)), "jaccard-prefixes")
     many = stored(first.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("k"), "jaccard-shared")
-    rows = stored(first.join(many, "k", "left_semi"), "jaccard-meeting")
-    rows = stored(rows.groupBy("k", "cls").agg(F.min("n").alias("n"), F.min("at").alias("at")), "jaccard-buckets")
+    meeting = stored(first.join(many, "k", "left_semi"), "jaccard-meeting")
+    rows = stored(meeting.groupBy("k", "cls").agg(F.min("n").alias("n"), F.min("at").alias("at")), "jaccard-buckets")
+    forget(first, many, meeting)
     for turn in range(STARS + 1):
         root = components(found, "jaccard-components")
         now = stored(rows.join(root, rows["cls"] == root["node"], "left").select("k", "cls", "n", "at", F.coalesce("component", "cls").alias("c")), "jaccard-members")
@@ -174,13 +178,15 @@ def links(texts: DataFrame, classes: DataFrame, words: int = 5, least: float = 0
             order = live.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("at", "k"))).alias("order")).select("cls", F.posexplode("order").alias("place", "e"), "order.k")
             place = F.greatest(F.col("place") - BEFORE, F.lit(0))
             order = order.select("cls", F.col("e.k").alias("of"), F.slice("k", place + 1, F.col("place") - place).alias("before"))
-            live = stored(live.join(order.withColumnRenamed("of", "k"), ["cls", "k"]).join(classes.select("cls", "bits"), "cls"), "jaccard-ordered")
-            left = live.withColumn("i", F.pmod(F.xxhash64("cls"), blocks))
-            right = live.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+            ordered = stored(live.join(order.withColumnRenamed("of", "k"), ["cls", "k"]).join(classes.select("cls", "bits"), "cls"), "jaccard-ordered")
+            left = ordered.withColumn("i", F.pmod(F.xxhash64("cls"), blocks))
+            right = ordered.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
             met = left.alias("x").join(right.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.cls") > F.col("y.cls")))
             met = met.where((F.col("x.c") != F.col("y.c")) & _may("x", "y", part) & _may_by_bits("x", "y", part) & ~F.arrays_overlap("x.before", "y.before"))
         pairs = met.where((F.col("x.c") != F.col("y.c")) & _may("x", "y", part)).select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
         found = found.unionByName(_verified(texts, stored(pairs, "jaccard-pairs"), words, part))
+        forget(now, open_)
+    forget(rows, live, ordered)
     return found
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, stored
 
 #: The measurements of a ledger, all long and 0 for a null text.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct")
@@ -95,6 +95,11 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return rows.withColumn("failed", bits)
 
 
+def stored_ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger as a table in the shared folder: any number of policies and ablations read it, and no text again."""
+    return stored(ledger(docs, key, text), "quality-ledger")
+
+
 def verdicts(kept: DataFrame, version: int) -> DataFrame:
     """Adds kept_by_policy: whether a document fails no rule of the policy."""
     return kept.withColumn("kept_by_policy", F.col("failed").bitwiseAND(F.lit(POLICIES[version])) == 0)

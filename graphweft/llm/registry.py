@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import uuid
 
 import public_tokenizers
@@ -41,6 +42,26 @@ FROM measured
 """
 
 
+#: All pairs of vectors of one label, and what links reach, in DuckDB's SQL.
+OP9_SQL = """
+WITH RECURSIVE every AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (
+  SELECT * FROM every
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM good a JOIN good b
+  ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reach AS (SELECT r, r AS at FROM good UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.at),
+least AS (SELECT reach.r, min(every.vec_id) AS component_id FROM reach JOIN every ON every.r = reach.at GROUP BY reach.r),
+linked AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT every.vec_id, coalesce(linked.n, 0)::BIGINT AS n_links, coalesce(least.component_id, every.vec_id) AS component_id,
+       every.vec_id IS NOT DISTINCT FROM coalesce(least.component_id, every.vec_id) AS kept
+FROM every LEFT JOIN least ON least.r = every.r LEFT JOIN linked ON linked.a = every.r
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,8 +91,13 @@ def remainder(n: int):
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The key of surrogates: graphweft.pii.key of the session, which a deployment sets to a secret of its own."""
-    return spark.conf.get("graphweft.pii.key", "not-a-secret")
+    """The key of surrogates: graphweft.pii.key of the session, which a deployment sets to a secret of its own. Where it is
+    unset, a random one, which the session keeps: surrogates then agree inside the session and with no other."""
+    key = spark.conf.get("graphweft.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("graphweft.pii.key", key)
+    return key
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +110,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of all documents under the newest policy."""
-    rows = quality.verdicts(quality.ledger(_table(spark, sf_dir, "documents")), max(quality.POLICIES))
+    rows = quality.verdicts(quality.stored_ledger(_table(spark, sf_dir, "documents")), max(quality.POLICIES))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("failed").bitwiseAND(F.lit(quality.BASE)) != 0).alias("base_failed"),
@@ -132,4 +158,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_quality_rules": OP5_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op9_embedding_dedup": OP9_SQL}
