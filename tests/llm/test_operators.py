@@ -11,6 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from test_whole import plain_jaccard_kept
+
 from graphweft.llm import byte_bpe, common, embeddings, language, packing, quality, registry, sharding, simhash, surrogates, token_counts, toxicity
 
 EN = "the house of the old man was near the river and they went there with the other children every morning"
@@ -89,6 +91,49 @@ def test_sharding(docs, none, shards):
     assert sharding.kd_shard_documents(none, shards=shards).count() == 0
 
 
+def plain_tree(rows, whole, target):
+    """Leaves (sets of keys) of rows (key, group, size, dims), cut at medians along the widest dimension."""
+    if sum(r[2] for r in rows) <= target or len(rows) == 1:
+        return [{r[0] for r in rows}]
+    widths = [(max(r[3][i] for r in rows) - min(r[3][i] for r in rows)) / whole[i] for i in range(len(whole))]
+    axis = widths.index(max(widths))
+    rows = sorted(rows, key=lambda r: (r[3][axis], r[1], r[0]))
+    half, upto, ends, first = sum(r[2] for r in rows) / 2, 0, {}, []
+    for r in rows:
+        lo, upto = upto, upto + r[2]
+        where = (r[1], r[3][axis])
+        ends[where] = (ends.get(where, (lo,))[0], upto)
+        first.append((r, lo, upto, where))
+    sides = ([], [])
+    for r, lo, hi, where in first:
+        a, b = ends[where]
+        small = a < half < b and b - a <= sharding.WHOLE * target
+        sides[(a + b if small else lo + hi) / 2 > half].append(r)
+    return plain_tree(sides[0], whole, target) + plain_tree(sides[1], whole, target)
+
+
+def test_leaves_keep_to_the_target(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(0, 60)), int(rng.integers(1, 50)), float(rng.normal()), float(rng.normal() * 3)) for i in range(600)] + [(600, 7, 5000, 0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "k long, g long, size long, x double, y double")
+    got = sharding.kd_shards(frame, "size", ["x", "y"], "g", "k", target_bytes=400).collect()
+    leaves = defaultdict(list)
+    for r in got:
+        leaves[r["shard"]].append(r)
+    assert sorted(leaves) == list(range(len(leaves))) and len(got) == len(rows)
+    assert all(len(x) == 1 or sum(r["size"] for r in x) <= 400 for x in leaves.values())
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in leaves.values())
+    whole = [max(r[i] for r in rows) - min(r[i] for r in rows) for i in (3, 4)]
+    want = plain_tree([(r[0], r[1], r[2], (r[3], r[4])) for r in rows], whole, 400)
+    assert {frozenset(r["k"] for r in x) for x in leaves.values()} == set(map(frozenset, want))
+
+
+def test_thousands_of_leaves(spark):
+    rows = spark.range(12000).select("id", (F.col("id") % 900).alias("g"), F.lit(10).cast("long").alias("size"), F.rand(3).alias("x"), F.rand(4).alias("y"))
+    found = sharding.kd_shards(rows, "size", ["x", "y"], "g", "id", target_bytes=30).groupBy("shard").agg(F.sum("size").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert found[0] <= 30 and found[1] >= 4000
+
+
 def test_sharding_is_even_and_keeps_small_groups(spark):
     rng = np.random.default_rng(5)
     texts = [f"text {i} " * int(rng.integers(1, 40)) for i in range(1500)]
@@ -167,11 +212,35 @@ def test_language(docs, none):
     assert kept.columns == docs.columns and kept.where("text is null or text = ''").count() == 0
 
 
-def test_language_order_is_that_of_the_vectors(docs):
+def test_language_scores_are_the_plain_cosines(spark):
+    """fit() and scorer() against bundles made vector by vector from plain counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null").limit(120)
     profiles = language.fit(docs, F.lit(True))
-    unit = profiles.prototypes / np.linalg.norm(profiles.prototypes, axis=1, keepdims=True)
-    for text in (EN, FR, EN[:20], "maison the"):
-        assert profiles.languages[int(np.argmax(unit @ profiles.vector(text)))] == language.scorer(profiles)(text)[0]
+    rows = [(r["lang"], r["text"]) for r in docs.collect()]
+    letters = language.letter_vectors().astype(int)
+
+    def bundle(text):
+        grams, out, total = Counter(int(c) for c in language.grams(text or "")), np.zeros(language.DIMENSIONS), 0.0
+        for code, n in grams.items():
+            a, b, c = code >> 14, code >> 7 & 127, code & 127
+            out += np.sqrt(n) * np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+            total += np.sqrt(n)
+        return out, total
+
+    shares = {}
+    for name in sorted({x for x, _ in rows}):
+        parts = [bundle(t) for x, t in rows if x == name]
+        shares[name] = sum(p for p, _ in parts) / sum(n for _, n in parts)
+    mean = sum(shares.values()) / len(shares)
+    score = language.scorer(profiles)
+    for _, text in rows[:60]:
+        own, n = bundle(text)
+        if not n:
+            assert score(text) == ("und", 0.0, 0)
+            continue
+        cosine = {x: float(own @ (s - mean) / np.linalg.norm(own) / np.linalg.norm(s - mean)) for x, s in shares.items()}
+        best = max(cosine, key=cosine.get)
+        assert score(text)[0] == best and score(text)[1] == pytest.approx(max(0.0, cosine[best]), abs=1e-5)
 
 
 def plain_measures(text):
@@ -368,7 +437,7 @@ def test_registry_is_whole():
 
 
 def test_pipeline_against_its_parts(spark):
-    """run() against a plain version of its filters, on whole tables."""
+    """run() against a plain version of its filters, on whole tables: five-word shingles and a Jaccard similarity of 0.8."""
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
@@ -376,11 +445,11 @@ def test_pipeline_against_its_parts(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     profiles = language.fit(docs, registry.remainder(5) > 0)
+    least = language.limits(docs, (registry.remainder(5) > 0) & F.col("lang").isNotNull(), profiles)
     score = language.scorer(profiles)
-    left = [i for i, t in text.items() if score(t)[0] != "und" and score(t)[1] >= 0.02]
+    found = {i: score(t) for i, t in text.items()}
+    left = [i for i, (name, value, n) in found.items() if name != "und" and value >= max(0.02, least[n.bit_length() - 1])]
     model = toxicity.fit(docs.where(F.col("doc_id").isin(left)), spark.read.parquet(f"{sf}/labels.parquet"), ~registry.remainder(4).isin(-1, 2))
-    left = [i for i in left if model.score(text[i]) < 0.3]
-    fp = {i: plain_fingerprint(text[i]) for i in left}
-    root = plain_components(left, [(a, b) for a in left for b in left if a < b and bin(fp[a] ^ fp[b]).count("1") <= 4])
-    assert {r["doc_id"] for r in got} == {i for i in left if root[i] == i}
+    left = {i: text[i] for i in left if model.score(text[i]) < 0.3}
+    assert {r["doc_id"] for r in got} == plain_jaccard_kept(left)
     assert max(r["offset"] + r["length"] for r in got) <= 1024

@@ -110,3 +110,96 @@ def test_hint_is_in_whatever_a_pattern_finds(spark):
     assert frame.where(F.col("text").rlike(surrogates.ANY) & F.col("text").rlike(surrogates.HINT)).count() == len(samples)
     out = {r["kind"]: r for r in surrogates.pseudonymise(frame, "key", count="n").collect()}
     assert all(out[k]["n"] >= 1 and out[k]["text"] != t for k, t in samples.items())
+
+
+def test_people_stay_different_people(spark):
+    """All listed given names with three last names, with and without a title, over several documents."""
+    last = {"latin": ["Smith", "Brown", "Weber"], "cyrillic": ["Петренко", "Коваль", "Ильин"], "greek": ["Παππάς", "Νικολάου", "Βλάχος"]}
+    people = [(g, script, name, s) for (g, script), names in surrogates.GIVEN.items() for name in names for s in last[script]]
+    extra = [("m", "latin", x, "Smith") for x in ("Xavier", "Quentin", "Zeno")]
+    title = {"m": "Mr.", "f": "Mrs."}
+    rows = [(i, f"{name} {s} came.") for i, (_, _, name, s) in enumerate(people)] + [(1000 + i, f"later {title[g]} {name} {s} left.") for i, (g, _, name, s) in enumerate(people + extra)]
+    rows += [(5000, "Mr. Smith and Mrs. Brown")]
+    out = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    new = {}
+    for i, who in enumerate(people + extra):
+        later = out[1000 + i].removeprefix(f"later {title[who[0]]} ").removesuffix(" left.")
+        assert who in extra or out[i] == f"{later} came."
+        new[who] = later
+    assert len(set(new.values())) == len(new)
+    assert all(a[2] != b.split(" ")[0] and a[3] != b.split(" ")[1] for a, b in new.items())
+    families = {(script, s): {b.split(" ")[1] for a, b in new.items() if (a[1], a[3]) == (script, s)} for script in last for s in last[script]}
+    assert all(len(x) == 1 for x in families.values()) and len(set.union(*families.values())) == 9
+    assert out[5000] == f"Mr. {min(families['latin', 'Smith'])} and Mrs. {min(families['latin', 'Brown'])}"
+
+
+def test_surrogates_against_a_plain_reading(spark):
+    """Whole documents: what a plain scan with the same patterns finds is replaced, one surrogate for each entity and one entity
+    for each surrogate, and the rest stays as it is."""
+    import regex
+
+    pattern = regex.compile(surrogates.ANY, regex.A)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, "a mark \ue0f1 and mail a.b@c.de too"), (-2, None), (-3, "")], "doc_id long, text string")
+    docs = docs.unionByName(extra).withColumns({c: F.lit("x") for c in ("row", "parts", "kind", "news", "rest", "some", "person")})
+    out = {r["doc_id"]: r for r in surrogates.pseudonymise(docs, "key", count="n").collect()}
+    seen, made = {}, {}
+    for r in docs.collect():
+        text, new = r["text"] or "", out[r["doc_id"]]["text"] or ""
+        at, found = 0, list(pattern.finditer(text))
+        assert out[r["doc_id"]]["n"] == len(found) and out[r["doc_id"]]["row"] == "x"
+        ends = [text[a:b] for a, b in zip([0, *(m.end() for m in found)], [*(m.start() for m in found), len(text)])]
+        for m, before, after in zip(found, ends, ends[1:]):
+            assert new.startswith(before, at)
+            at += len(before)
+            stop = new.index(after, at) if after and m is not found[-1] else len(new) - len(after) if m is found[-1] else None
+            if stop is not None and "\n" not in new[at:stop] and len(after) > 3:
+                seen.setdefault(m.group(), set()).add(new[at:stop])
+                made.setdefault(new[at:stop], set()).add(regex.sub(r"[ ()\-.]", "", m.group().lower()))
+            at = stop if stop is not None else at + len(m.group())
+    assert len(seen) > 50 and all(len(x) == 1 for x in seen.values())
+    assert not set(made) & set(seen) and sum(len(x) > 1 for x in made.values()) == 0
+
+
+def test_surrogates_need_a_key(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="key"):
+        surrogates.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
+
+
+def test_token_cache_is_used(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    from graphweft.llm import common, token_counts
+
+    cache = str(tmp_path / "cache")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, f"Some words  {i % 40} and more") for i in range(200)] + [(900, None), (901, "")], "doc_id long, text string")
+    first = token_counts.count_tokens(docs, path, cache).collect()
+    size = spark.read.parquet(cache).count()
+    assert size == 41
+    assert sorted(token_counts.count_tokens(docs, path, cache).collect()) == sorted(first) and spark.read.parquet(cache).count() == size
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, f"new {i % 5}") for i in range(50)], "doc_id long, text string"))
+    counted = token_counts.count_tokens(more, path, cache).count()
+    assert counted == 252 and spark.read.parquet(cache).count() == size + 5
+    monkeypatch.setattr(common, "FEW", 0)
+    again = more.unionByName(spark.createDataFrame([(2000 + i, f"newer {i % 3}") for i in range(9)], "doc_id long, text string"))
+    assert token_counts.count_tokens(again, path, cache).where("n_tokens is null").count() == 0 and spark.read.parquet(cache).count() == size + 8
+    assert token_counts.lowers_and_blanks(path) and not token_counts.lowers_and_blanks(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_pipeline_stages_take_odd_tables(spark):
+    """Null and repeated keys, null and empty texts, clashing columns and empty tables in each stage."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, "the day was long and the people went home to rest", "en", "s", 48), (7, "the day was long and the people went home to rest", "en", "s", 48), (-5, " \n ", None, None, 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.limit(60).select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).unionByName(odd).withColumns({c: F.lit("x") for c in ("cls", "fp", "row", "kind", "score")})
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, docs.where("false")):
+            found = stage(spark, rows, sf)
+            if name != "packing":
+                assert found.columns == docs.columns
+            assert found.count() >= 0
