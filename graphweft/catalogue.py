@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -14,7 +15,7 @@ from .model import VAL
 from .operators import centrality, community, neighbourhood, paths, structure, text, traversal
 from .plans import ir
 from .plans.parser import parse
-from .plans.run import execute
+from .plans.run import execute, profile
 from .sources import store
 from .sources.adjacency import Adjacency, KeyIndex
 from .sources.stages import shared_dir, stored
@@ -133,10 +134,19 @@ def match_whole_elements(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("n.id").alias("n"), F.col("n.labels")[0].alias("label"), F.col("n.props")["n_name"]["s"].alias("name"), "e.type", "e.src", "e.dst", F.col("r.id").alias("r"))
 
 
-@_query("SELECT n_name AS name FROM nation WHERE n_nationkey IN (3, 5, 8)")
+@_query("SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey IN (3, 5, 8)")
 def index_seek(spark: SparkSession, folder: str) -> DataFrame:
-    ids = [(5 - 3) * HIGH + k for k in (3, 5, 8)]
-    return star_schema(spark, folder).nodes("Nation", ["n_name"]).where(F.col("id").isin(ids)).select(F.col("p_n_name").alias("name"))
+    seek = ir.IndexSeek("n", tuple(2 * HIGH + k for k in (3, 5, 8)), "Nation")
+    lowered = ir.lower(parse("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS name, r.r_name AS region"))
+    return execute(star_schema(spark, folder), replace(lowered, child=replace(lowered.child, child=seek)))
+
+
+@_query("""SELECT 0 AS place, 'NodeScan' AS operator, count(*)::BIGINT AS rows FROM customer UNION ALL SELECT 1, 'Expand', count(*) FROM customer
+    UNION ALL SELECT 2, 'Filter', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7' UNION ALL SELECT 3, 'Project', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7'""")
+def operator_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows each operator of a plan gives, as it was lowered."""
+    found = profile(star_schema(spark, folder), ir.lower(parse('MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE n.n_name = "NATION_7" RETURN c.c_name AS customer')))
+    return spark.createDataFrame([(i, name.split("(")[0], rows) for i, (name, rows) in enumerate(found)], "place int, operator string, rows long")
 
 
 @_query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey BETWEEN 100 AND 300")

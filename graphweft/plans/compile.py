@@ -7,7 +7,7 @@ is used, so filters reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import PlanError
@@ -65,8 +65,11 @@ def compare_columns(op: str, a: Typed, b: Typed) -> Column:
 
 
 class Compiler:
-    def __init__(self, graph, plan):
-        self.graph, self.kinds = graph, ir.kinds_of(plan)
+    """A plan as a DataFrame. watched: gets (plan node, Observation of its rows) for each node, children first; an observed node
+    is a wall to the optimiser, so this is for profiles only."""
+
+    def __init__(self, graph, plan, watched: list | None = None):
+        self.graph, self.kinds, self.watched = graph, ir.kinds_of(plan), watched
         self.props: dict[str, set[str]] = {v: set() for v in self.kinds}
         self.whole: set[str] = set()
         self._needs(plan)
@@ -94,8 +97,26 @@ class Compiler:
         return self._named(self.graph.nodes(label, sorted(self.props[variable]), variable in self.whole), variable)
 
     def rows(self, plan) -> DataFrame:
+        made = self._rows(plan)
+        if self.watched is None:
+            return made
+        seen = Observation()
+        self.watched.append((plan, seen))
+        return made.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def _seek(self, plan: ir.IndexSeek) -> DataFrame:
+        """A filter on ids that reaches the scan; the ids themselves are looked up once, before."""
+        there = {r["id"] for r in self.graph.nodes(plan.label).where(F.col("id").isin(list(plan.ids))).select("id").collect()}
+        if lost := [i for i in plan.ids if i not in there]:
+            raise PlanError("UnknownNode", str(lost[0]))
+        found = self._nodes(plan.variable, plan.label)
+        return found.where(F.col(f"`{plan.variable}$id`").isin(list(plan.ids)))
+
+    def _rows(self, plan) -> DataFrame:
         if isinstance(plan, ir.NodeScan):
             return self._nodes(plan.variable, plan.label)
+        if isinstance(plan, ir.IndexSeek):
+            return self._seek(plan)
         if isinstance(plan, ir.Expand):
             return self._expand(plan)
         if isinstance(plan, ir.Product):

@@ -43,6 +43,13 @@ def explain(graph, text: str, count: bool = True) -> str:
     return "\n".join([*parts, f"rows: {rows.count()}"] if count else parts)
 
 
+def profile(graph, logical) -> list[tuple[str, int]]:
+    """(operator, rows that it gave) for each node of a plan, children first, from one run."""
+    watched: list = []
+    Compiler(graph, logical, watched).rows(logical).write.format("noop").mode("overwrite").save()
+    return [(str(node), seen.get["rows"]) for node, seen in watched]
+
+
 def cell(value) -> str:
     """A value as the text table shows it."""
     if value is None:

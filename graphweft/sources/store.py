@@ -326,6 +326,13 @@ def rotate(oplog: DataFrame, most_rows: int) -> DataFrame:
     return oplog.repartitionByRange(n, "lsn").withColumn("segment", F.spark_partition_id())
 
 
+def counters(oplog: DataFrame) -> dict[str, int]:
+    """What a writer goes on from after it has read a log: the next lsn and transaction, and the next id of a node and an edge."""
+    top = lambda c, when=F.lit(True): F.coalesce(F.max(F.when(when, F.col(c))), F.lit(-1)) + 1
+    node, edge = F.col("kind").endswith("_NODE"), F.col("kind").endswith("_EDGE")
+    return oplog.agg(top("lsn").alias("lsn"), top("tx_id").alias("tx_id"), top("target_id", node).alias("node"), top("target_id", edge).alias("edge")).first().asDict()
+
+
 ACID = {
     "atomicity": "a commit's marker is renamed into place: readers see all of its operations or none",
     "consistency": "operations are checked against the snapshot that they change; check() finds what is wrong all the same",
@@ -393,4 +400,4 @@ def check(graph: PropertyGraph) -> DataFrame:
     return out
 
 
-__all__ = ["ACID", "EDGES", "NODES", "cascade", "check_operations", "isolation_report", "recover", "rotate", "settled", "OPLOG", "Operation", "Transaction", "VersionedStore", "analyse", "check", "committed", "delete_edge", "delete_node", "put_edge", "put_node", "replay", "simulate", "truncate", "undo"]
+__all__ = ["ACID", "EDGES", "NODES", "cascade", "check_operations", "counters", "isolation_report", "recover", "rotate", "settled", "OPLOG", "Operation", "Transaction", "VersionedStore", "analyse", "check", "committed", "delete_edge", "delete_node", "put_edge", "put_node", "replay", "simulate", "truncate", "undo"]

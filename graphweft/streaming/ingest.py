@@ -16,7 +16,8 @@ def ingest(operations: DataFrame, store: VersionedStore, checkpoint: str, availa
     a batch brings its COMMIT, and are left out if that is a ROLLBACK. What a batch commits is checked by joins with the
     store's present (an edge's ends and whatever is deleted must be there at that place of the log, else the query fails
     with a TransactionError and nothing of the batch is seen), and a deleted node takes its edges with it. A batch that is run
-    again after a failure is recognised by its number, which the commit's name bears, and skipped; no log is read for that.
+    again after a failure is recognised by its number, which the commit's name bears, and skipped; no log is read for that. So
+    a store takes the batches of one checkpoint only.
     """
 
     def commit(batch: DataFrame, number: int) -> None:

@@ -10,7 +10,7 @@ from graphweft.plans.ast import validate
 from graphweft.plans.compile import Compiler
 from graphweft.plans.lexer import lex
 from graphweft.plans.parser import parse
-from graphweft.plans.run import execute
+from graphweft.plans.run import execute, profile
 
 
 @pytest.fixture(scope="module")
@@ -149,6 +149,23 @@ def test_catalog_and_estimates(demo):
     assert c.equality_fraction("Ship", "tons", 80.0) == pytest.approx(2 / 5)
 
 
+def test_seek_and_profile(demo):
+    g = Plain(demo)
+    lowered = ir.lower(parse("MATCH (s:Ship)-[:MEETS]->(t) WHERE t.tons > 100 RETURN t.name"))
+    counts = dict(profile(demo, lowered))
+    met = [d for _, d, _ in g.out("MEETS")]
+    heavy = sum(g.props[d].get("tons", 0) > 100 for d in met)
+    assert [n for k, n in counts.items()] == [len(g.all("Ship")), len(met), heavy, heavy]
+    seek = ir.Project(ir.IndexSeek("n", (1, 5)), lower_items("MATCH (n) RETURN n.name"))
+    assert bag(execute(demo, seek)) == [("Brisa",), ("Norden",)] and demo.catalog().estimate(seek) == 2
+    with pytest.raises(PlanError, match="UnknownNode"):
+        execute(demo, ir.Project(ir.IndexSeek("n", (1, 77)), seek.items))
+
+
+def lower_items(text):
+    return ir.lower(parse(text)).items
+
+
 def test_cli(spark):
     out, err = io.StringIO(), io.StringIO()
     assert cli(["query", 'MATCH (s:Ship) WHERE s.name = "Coral" RETURN s.tons'], out, err, spark) == 0 and "200" in out.getvalue()

@@ -94,3 +94,53 @@ def test_graph_from_files(spark, tmp_path):
     g = graph_from_files(spark, {"N": str(tmp_path / "v")}, {"R": str(tmp_path / "e")}, "csv")
     assert [tuple(r) for r in g.query('MATCH (a:N)-[:R]->(b:N) WHERE a.name = "a" RETURN b.name').collect()] == [("b",)]
     assert val(True)[0] == "b" and g.node(1).count() == 1 and g.out_edges(1).count() == g.in_edges(2).count() == 1 and g.edges().select(F.count("*")).first()[0] == 1
+
+
+def test_stream_checks_waits_and_cascades(spark, tmp_path):
+    s = S.VersionedStore(spark, str(tmp_path / "g"))
+    stream = lambda: spark.readStream.schema(S.OPLOG).parquet(str(tmp_path / "in"))
+
+    def batch(*rows, first=0):
+        full = [op.row(first + i, tx) if isinstance(op, S.Operation) else (first + i, tx, op, None, None, None) for i, (tx, op) in enumerate(rows)]
+        spark.createDataFrame(full, S.OPLOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest(stream(), s, str(tmp_path / "cp")).awaitTermination()
+
+    batch((1, S.put_node(1)), (1, S.put_node(2)), (1, S.put_edge(9, 1, 2, "R")), (2, "BEGIN"), (2, S.put_node(5)))
+    assert ids(s.snapshot().nodes()) == [1, 2]
+    batch((2, S.put_edge(7, 5, 1, "R")), (2, "COMMIT"), (3, S.delete_node(2)), (4, "BEGIN"), (4, S.delete_node(1)), (4, "ROLLBACK"), first=10)
+    assert ids(s.snapshot().nodes()) == [1, 5] and ids(s.snapshot().edges()) == [7] and S.check(s.snapshot()).isEmpty()
+    assert ids(s.snapshot(1).edges()) == [9]
+    with pytest.raises(Exception, match="UnknownNode"):
+        batch((6, S.put_edge(8, 1, 2, "R")), first=20)
+    assert ids(s.snapshot().edges()) == [7]
+
+
+def test_collection_recovery_and_segments(spark, tmp_path):
+    s = S.VersionedStore(spark, str(tmp_path / "g"))
+    for i in range(4):
+        s.autocommit(S.put_node(i, ["N"]))
+    s.autocommit(S.delete_node(1))
+    log = s.write_ahead()
+    assert {r["state"] for r in S.analyse(log)[0].collect()} == {"committed"} and S.counters(log)["node"] == 4
+    empty = PropertyGraph.from_frames(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES))
+    assert ids(S.replay(log, empty).nodes()) == ids(s.snapshot().nodes()) == [0, 2, 3]
+    lost = oplog(spark, [(99, S.put_node(50))]).withColumn("lsn", F.col("lsn") + (1 << 60))
+    broken = PropertyGraph.from_rows(spark, [(0, ["N"], {}), (50, [], {})], [])
+    assert ids(S.recover(s.snapshot(), broken, log.unionByName(lost)).nodes()) == [0, 2, 3]
+    cut = S.rotate(log, 5).groupBy("segment").agg(F.min("lsn").alias("a"), F.max("lsn").alias("b")).orderBy("segment").collect()
+    assert len(cut) > 1 and all(x["b"] < y["a"] for x, y in zip(cut, cut[1:]))
+    s.gc(s.now + 1)
+    assert len(list((tmp_path / "g" / "data").iterdir())) == 1 and ids(s.snapshot().nodes()) == [0, 2, 3]
+
+
+def test_stored_adjacency(spark, tmp_path, monkeypatch):
+    from graphweft.sources import adjacency
+
+    monkeypatch.setattr(adjacency, "SEGMENT", 10)
+    rows = [(i, i % 5, (i * 7) % 40) for i in range(150)] + [(1000 + i, 3, i) for i in range(95)]
+    e = spark.createDataFrame(rows, "eid long, src long, dst long")
+    a = adjacency.Adjacency(spark, str(tmp_path / "a"), 4).write(e)
+    assert sorted(map(tuple, a.neighbours(3, 99).select("eid", "id", "dst").collect())) == sorted(r for r in rows if r[1] == 3)
+    assert {r["id"]: r["degree"] for r in a.degrees().collect()} == {k: sum(r[1] == k for r in rows) for k in range(5)}
+    assert a.rows().agg(F.max(F.size("neighbours"))).first()[0] < 40 and a.verify(e).isEmpty()
+    assert sorted(r["issue"] for r in a.verify(e.where("eid <> 7").unionByName(spark.createDataFrame([(5000, 1, 1)], e.schema))).collect()) == ["extra", "missing"]
