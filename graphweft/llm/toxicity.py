@@ -10,9 +10,12 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # Words of the grammar's classes that hold in general; the insults of a corpus are learned.
 TARGETS = "you your yours yourself u ur he him she her they them du dich dir ihr euch sie tu te toi vous ton ta usted ustedes ti vosotros".split()
 THREATS = "kill murder hurt destroy beat burn shoot stab strangle slaughter umbringen vernichten schlagen tuer détruire frapper matar destruir golpear".split()
@@ -23,6 +26,11 @@ INSULTS = "idiot moron imbecile cretin bastard asshole dumbass".split()
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
 #: Documents of the sample that must hold an entry of a learned lexicon; the least share of toxic ones among them.
 LEAST_DOCS, LEAST_SHARE = 3, 0.8
+#: An entry of at least this part of the sample's toxic documents is plain; any other must say something of LEAST_DOCS toxic
+#: documents that hold no plain one.
+PLAIN = 0.02
+#: Copies of a document count once for the lexicon: documents whose runs of so many words have the same least hash.
+COPY_WORDS = 3
 #: Lengths of word beginnings that can be an entry, written with a star.
 STEMS = (4, 5, 6, 7)
 #: Tokens that a negation reaches.
@@ -162,11 +170,22 @@ def _sample(labelled: DataFrame) -> DataFrame:
     return labelled.where(draw < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
 
 
+def _copy_key(texts: pd.Series) -> pd.Series:
+    """The least hash of a text's runs of COPY_WORDS words, which near copies mostly share; of the whole if it has fewer."""
+
+    def key(text: str) -> int:
+        words = WORD.findall(text.lower())
+        return min(xxhash.xxh64_intdigest(" ".join(words[i : i + COPY_WORDS])) for i in range(max(1, len(words) - COPY_WORDS + 1))) >> 1
+
+    return texts.map(key)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     """A model from the labelled rows (doc_id, toxic 0/1) of docs where `train` holds, of which a bounded sample is used.
 
     The lexicon has the words and beginnings of words of which at least LEAST_SHARE of LEAST_DOCS or more documents are
-    toxic; a beginning only where it says more than its words. The weights of the grammar's matches are then fitted by
+    toxic; a beginning only where it says more than its words, and a rare entry only where it tells of documents that no
+    plain one tells of. Copies of a document count once there, so that a text's own words aren't learned with it. The weights of the grammar's matches are then fitted by
     logistic regression, weighted back to all labelled rows. Without toxic labels, as on empty tables, the general words alone
     count. The lexicon takes every such entry: what the sample's documents hold bounds it, and that alone reaches the driver.
     """
@@ -176,21 +195,29 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     # the sample's size is bounded by SAMPLE_TOXIC + SAMPLE_CLEAN rows of two numbers
     rows = docs.where(train).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "toxic").where("text is not null")
 
-    def count(batches):
-        held: dict[str, list[int]] = {}
-        for batch in batches:
-            for x, y in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-                for t in terms(x.as_py()):
-                    held.setdefault(t, [0, 0])[y] += 1
-        names = list(held)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([held[t][1] for t in names], pa.int64()), pa.array([held[t][0] for t in names], pa.int64())], names=["term", "bad", "good"])
-
-    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    def counter(plain: set[str]):
+        def count(batches):
+            held: dict[str, list[int]] = {}
+            for batch in batches:
+                for x, y in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+                    own = terms(x.as_py())
+                    for t in own if own.isdisjoint(plain) else ():
+                        held.setdefault(t, [0, 0])[y] += 1
+            names = list(held)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([held[t][1] for t in names], pa.int64()), pa.array([held[t][0] for t in names], pa.int64())], names=["term", "bad", "good"])
+
+        return count
+
+    once = stored(rows.withColumn("key", F.pandas_udf(_copy_key, "long")("text")).dropDuplicates(["key", "toxic"]).select("text", "toxic"), "toxicity-once")
+    size = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
     lift = max(1, size.get(1, 0)) / max(1, size.get(0, 0))
     share = F.col("bad") / (F.col("bad") + F.col("good") * F.lit(lift))
-    counted = rows.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    picked = counted.where((F.col("bad") >= LEAST_DOCS) & (share >= LEAST_SHARE) & (F.col("good") <= 0.02 * F.col("bad"))).collect()
+    counted = lambda plain: once.mapInArrow(counter(plain), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    picked = counted(set()).where((F.col("bad") >= LEAST_DOCS) & (share >= LEAST_SHARE) & (F.col("good") <= 0.02 * F.col("bad"))).collect()
     found = {r["term"]: (r["bad"], r["good"]) for r in picked}
+    plain = {t for t, (bad, _) in found.items() if bad >= PLAIN * size.get(1, 0)}
+    telling = {r["term"] for r in counted(plain).where((F.col("bad") >= LEAST_DOCS) & (share >= LEAST_SHARE)).collect()}
+    found = {t: n for t, n in found.items() if t in plain or t in telling}
     weights = {t: float(np.log((b + 0.5) / (g + 0.5))) / 5 for t, (b, g) in found.items()}
     longer: dict[str, int] = {}
     for w, (bad, _) in found.items():
