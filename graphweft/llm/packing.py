@@ -82,42 +82,47 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     """Where the documents of each length go: rows (length, from rank, to rank, first sequence, offset).
 
     Rounds run over the lengths from the longest down. In a round all documents of the length are matched at once: a
-    sweep gives the next of them, by rank, to the sequences of the smallest gap that holds them, by rank; where there
-    are more documents than such gaps, the rest go on to the next gap, and at last to new sequences. Then the gaps are
-    updated. Sequences that have the same gap are kept as runs of consecutive numbers, so the table has as many rows as
-    lengths and gaps meet, which `capacity` bounds, however many documents there are.
+    sweep gives the next of them, by rank, to the sequences of the smallest gap that holds them, by rank, each as many as
+    fit; where there are more documents than that, the rest go on to the next gap, and at last to new sequences. Then the
+    gaps are updated. So each document stands where best fit, longest first, puts it when it takes them one by one.
+    Sequences that have the same gap are kept as runs of consecutive numbers, so the table has as many rows as lengths and
+    gaps meet, which `capacity` bounds, however many documents there are.
     """
     gaps: dict[int, deque] = {}  # gap: runs (first sequence, how many)
     order: list[int] = []  # the gaps that have runs, sorted
     made, plan = 0, []
 
-    def put(gap: int, run: tuple[int, int]) -> None:
-        if gap:
+    def put(gap: int, first: int, many: int) -> None:
+        if gap and many:
             if gap not in gaps:
                 gaps[gap] = deque()
                 bisect.insort(order, gap)
-            gaps[gap].append(run)
+            gaps[gap].append((first, many))
 
     for length in sorted(counts, reverse=True):
         rank, count = 0, counts[length]
         while rank < count:
             k = bisect.bisect_left(order, length)
+            gap = order[k] if k < len(order) else capacity
+            each = gap // length
             if k == len(order):
-                new = -(-(count - rank) // (capacity // length))
-                put(capacity, (made, new))
-                made += new
-                continue
-            gap = order[k]
-            first, n = gaps[gap].popleft()
-            take = min(n, count - rank)
-            if take < n:
-                gaps[gap].appendleft((first + take, n - take))
-            if not gaps[gap]:
-                del gaps[gap]
-                order.pop(k)
-            plan.append((length, rank, rank + take, first, capacity - gap))
-            put(gap - length, (first, take))
-            rank += take
+                first, many = made, -(-(count - rank) // each)
+                made += many
+            else:
+                first, many = gaps[gap].popleft()
+                if not gaps[gap]:
+                    del gaps[gap]
+                    order.pop(k)
+            full, rest = divmod(min(count - rank, many * each), each)
+            for at, sequences, documents in ((first, full, each), (first + full, 1, rest)):
+                if sequences and documents:
+                    for j in range(documents):
+                        plan.append((length, rank, rank + sequences, at, capacity - gap + j * length))
+                        rank += sequences
+                    put(gap - documents * length, at, sequences)
+            used = full + (rest > 0)
+            if used < many:
+                put(gap, first + used, many - used)
     return plan
 
 
@@ -126,8 +131,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
 
     Pieces are range-sorted by length and ranked inside their length by prefix sums over the sorted partitions.
     best_fit() sweeps lengths against gaps, which it keeps as sorted runs, in one loop on the driver: it sees at most
-    `capacity` counts, one for each length, and is exact as only lengths decide. Each piece then finds its place from its rank, in one join with the table of runs, whose size `capacity` bounds (at most capacity^2 / 2 rows
-    of 40 bytes; a few thousand in practice). Pieces are written before, so texts are encoded once.
+    `capacity` counts, one for each length, and is exact as only lengths decide. Each piece then finds its place from its rank, in one join with the table of runs, whose size `capacity` bounds (at most some 2 * capacity^2
+    rows of 40 bytes; a few thousand in practice). Pieces are written before, so texts are encoded once.
     Null and empty texts are packed as their end id alone; repeated rows are packed each by itself; no rows: no rows.
     """
     spark = docs.sparkSession
