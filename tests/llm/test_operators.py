@@ -169,6 +169,40 @@ def test_best_fit_places_all_without_overlap():
         assert len(fill) <= 11 / 9 * -(-sum(k * v for k, v in counts.items()) // capacity) + 2 or len(fill) <= sum(v for k, v in counts.items() if 2 * k > capacity) + 1
 
 
+def test_best_fit_is_that_of_single_documents():
+    """The sweeps over lengths against documents taken one by one, longest first, each into the fullest sequence that holds it."""
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        lengths = rng.integers(1, 65, int(rng.integers(1, 400))).tolist()
+        plan = packing.best_fit(Counter(lengths), 64)
+        fill = Counter()
+        for length, lo, hi, first, _ in plan:
+            for i in range(hi - lo):
+                fill[first + i] += length
+        gaps: list[int] = []
+        for length in sorted(lengths, reverse=True):
+            fits = [(g, i) for i, g in enumerate(gaps) if g >= length]
+            if fits:
+                gaps[min(fits)[1]] -= length
+            else:
+                gaps.append(64 - length)
+        assert sorted(fill.values()) == sorted(64 - g for g in gaps)
+
+
+@pytest.mark.parametrize("query,least", [("op4_language_id", 0.95), ("op10_toxicity", 0.85)])
+def test_held_out_accuracy(spark, query, least):
+    """On the rows that nothing was learned from: the share of right languages; toxic ones found, and of those found right."""
+    sf = "/root/testdata/sf0.01" if query.startswith("op4") else "/root/testdata/sf0.1"
+    got = registry.queries()[query](spark, sf).where("held_out")
+    if query == "op4_language_id":
+        both = got.join(spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'").collect()
+        assert len(both) > 100 and np.mean([r["lang"] == r["lang_pred"] for r in both]) >= least
+        return
+    both = got.join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
+    hit = sum(r["toxic"] and r["predicted"] for r in both)
+    assert hit >= least * sum(r["toxic"] for r in both) and hit >= 0.8 * sum(r["predicted"] for r in both) and hit > 5
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
