@@ -460,7 +460,8 @@ def vertex_cover(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(f"WITH {PAIRS_SQL}, least_cut AS (SELECT least((SELECT sum(w) FROM pairs WHERE src = 2), (SELECT sum(w) FROM pairs WHERE dst = 3)) AS w) SELECT w AS flow, w AS cut FROM least_cut")
 def max_flow(spark: SparkSession, folder: str) -> DataFrame:
-    """From the first customer to the first supplier: the flow, and the capacity of the cut found, which must be equal."""
+    """From the first customer to the first supplier: the flow, and the capacity of the cut found, which must be equal. In these
+    tables what the two ends have binds it, so the SQL takes the lesser of that."""
     _, e = _pairs(spark, folder)
     net = stored(_both(e).select("src", "dst", F.col("w").alias("cap")), "flow-net")
     found = stored(structure.max_flow(net, 2, 3), "flow-found")
