@@ -18,6 +18,8 @@ DIMENSIONS, SEED = 2048, 20
 SYMBOLS, SHIFT = 128, 7
 #: Characters of a text counted at a time.
 RUN = 1 << 20
+#: Vectors of grams that a worker keeps (32 MB); those of any others are bound again.
+KEPT = 1 << 14
 #: A text is like none of the languages if it scores under this part of the score that all but LOW of the learning rows of
 #: its length reach, or all rows; lengths of fewer than ENOUGH rows are taken together with the next ones.
 MARGIN, LOW, ENOUGH = 0.4, 0.01, 100
@@ -44,22 +46,55 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
+@functools.lru_cache(1)
 def letter_vectors() -> np.ndarray:
     return np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, DIMENSIONS))
 
 
+@functools.lru_cache(1)
+def _permuted() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    v = letter_vectors()
+    return np.roll(v, 2, axis=1), np.roll(v, 1, axis=1), v
+
+
 def gram_vectors(codes: np.ndarray) -> np.ndarray:
     """The first letter's vector permuted twice, times the second's permuted once, times the third's."""
-    v = letter_vectors()
+    twice, once, v = _permuted()
     mask = SYMBOLS - 1
-    return np.roll(v, 2, axis=1)[codes >> (2 * SHIFT)] * np.roll(v, 1, axis=1)[(codes >> SHIFT) & mask] * v[codes & mask]
+    return twice[codes >> (2 * SHIFT)] * once[(codes >> SHIFT) & mask] * v[codes & mask]
+
+
+class _Known:
+    """The vectors of the grams that a worker has met, up to KEPT of them."""
+
+    def __init__(self):
+        self.place = np.full(SYMBOLS**3, -1, dtype=np.int32)
+        self.rows = np.zeros((KEPT, DIMENSIONS), dtype=np.int8)
+        self.used = 0
+
+    def vectors(self, codes: np.ndarray) -> np.ndarray:
+        at = self.place[codes]
+        new = codes[at < 0]
+        if len(new):
+            if self.used + len(new) > KEPT:
+                return gram_vectors(codes)
+            self.rows[self.used : self.used + len(new)] = gram_vectors(new)
+            self.place[new] = np.arange(self.used, self.used + len(new))
+            self.used += len(new)
+            at = self.place[codes]
+        return self.rows[at]
+
+
+@functools.lru_cache(1)
+def _known() -> _Known:
+    return _Known()
 
 
 def _bundle(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The sum of the codes' vectors, each as often as its weight."""
     out = np.zeros(DIMENSIONS)
     for lo in range(0, len(codes), 4096):
-        out += weights[lo : lo + 4096].astype(np.float32) @ gram_vectors(codes[lo : lo + 4096]).astype(np.float32)
+        out += weights[lo : lo + 4096].astype(np.float32) @ _known().vectors(codes[lo : lo + 4096]).astype(np.float32)
     return out
 
 
