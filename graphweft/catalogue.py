@@ -565,17 +565,19 @@ def longest_way_by_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(structure.longest_path_by_nodes(v.withColumn("w", weight), e, _least_customer(spark, folder)),)], "longest long")
 
 
-_VISITS = f"SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS place, id FROM (SELECT {HIGH}::BIGINT AS id UNION ALL SELECT {2 * HIGH} + n_nationkey FROM nation WHERE n_regionkey = 0)"
+_VISITS = f"""SELECT {HIGH}::BIGINT AS id, 0 AS level, -1 AS up UNION ALL SELECT {2 * HIGH} + n_nationkey, 1, n_nationkey FROM nation WHERE n_regionkey = 0
+    UNION ALL SELECT {3 * HIGH} + c_custkey, 2, c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0
+    UNION ALL SELECT {4 * HIGH} + s_suppkey, 2, s_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0"""
 
 
-@_query(_VISITS)
+@_query(f"SELECT (row_number() OVER (ORDER BY level, up, id) - 1)::INT AS place, id FROM ({_VISITS})")
 def breadth_first_order(spark: SparkSession, folder: str) -> DataFrame:
-    return structure.visit_order(_both(_small(spark, folder)[1]), HIGH)
+    return structure.visit_order(_both(_tree(spark, folder)[1]), HIGH)
 
 
-@_query(_VISITS)
+@_query(f"SELECT (row_number() OVER (ORDER BY up, level, id) - 1)::INT AS place, id FROM ({_VISITS})")
 def depth_first_order(spark: SparkSession, folder: str) -> DataFrame:
-    return structure.visit_order(_both(_small(spark, folder)[1]), HIGH, depth_first=True)
+    return structure.visit_order(_both(_tree(spark, folder)[1]), HIGH, depth_first=True)
 
 
 @_query(f"WITH {TREE_SQL} SELECT count(*)::BIGINT AS in_order, (SELECT count(*) FROM ids)::BIGINT AS places FROM tree")
@@ -610,7 +612,7 @@ def random_independent_set(spark: SparkSession, folder: str) -> DataFrame:
 @_query(f"SELECT 1.0::DOUBLE AS size, {HIGH}::BIGINT AS node")
 def vertex_cut(spark: SparkSession, folder: str) -> DataFrame:
     """The region is all that two of its nations have in common."""
-    _, e = _small(spark, folder)
+    _, e = _tree(spark, folder)
     a, b = [r["src"] for r in e.where(F.col("dst") == HIGH).orderBy("src").limit(2).collect()]
     return structure.vertex_cut(e, a, b, undirected=True).select("size", F.explode("nodes").alias("node"))
 
