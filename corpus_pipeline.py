@@ -10,25 +10,30 @@ from graphweft.llm import common, jaccard, language, packing, registry, surrogat
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language; those without letters or with a text like none of the languages go."""
+    """Documents in a recognised language; those without letters (null and empty texts too) or with a text like none of the
+    languages go. Null and repeated keys are no matter, other columns stay; no rows: no rows."""
     learned = registry.remainder(5) > 0
     profiles = language.fit(docs, learned)
     return language.recognised(docs, profiles, least_by_length=language.limits(docs, learned & F.col("lang").isNotNull(), profiles))
 
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3."""
+    """Documents that score under 0.3; a null or empty text has no match and stays. Rows without a key are scored and never
+    learned from; other columns stay; no rows: no rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.below(docs, toxicity.fit(docs, labels, ~registry.remainder(4).isin(-1, 2)), 0.3)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest doc_id."""
+    """Of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest
+    doc_id: links of the SimHash operator, checked exactly, and after them those that differ in too many bits for it. Of rows
+    with one doc_id one stays; rows without a doc_id stay; texts without a word are alike; no rows: no rows."""
     return jaccard.keep_one(docs, words=5, least=0.8)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data; n_chars follows the text."""
+    """All documents, with surrogates for personal data; n_chars follows the text (a null text keeps its own). Null and repeated
+    keys and any other columns stay; no rows: no rows."""
     safe = surrogates.pseudonymise(docs, registry.pii_key(spark))
     if "n_chars" in docs.columns:
         safe = safe.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
@@ -36,7 +41,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 1024 tokens."""
+    """Pieces of the documents in sequences of at most 1024 tokens; a null or empty text is its end token. Repeated and null keys
+    have their own pieces; no rows: no rows."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
 
