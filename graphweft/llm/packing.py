@@ -133,13 +133,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
     best_fit() sweeps lengths against gaps, which it keeps as sorted runs, in one loop on the driver: it sees at most
     `capacity` counts, one for each length, and is exact as only lengths decide. Each piece then finds its place from its rank, in one join with the table of runs, whose size `capacity` bounds (at most some 2 * capacity^2
     rows of 40 bytes; a few thousand in practice). Pieces are written before, so texts are encoded once.
-    Null and empty texts are packed as their end id alone; repeated rows are packed each by itself; no rows: no rows.
+    Null and empty texts are packed as their end id alone; repeated rows and keys are packed each by itself, in the order of
+    their pieces' digests; null keys come first; no rows: no rows. Columns but doc_id and text are not looked at.
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, tokenizer, capacity, end_id), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     plan = spark.createDataFrame(best_fit(counts, capacity), "__length long, __from long, __to long, __first long, offset long")
-    ranked = ordered(cut, "piece-ranks", ["doc_id", "piece"], "length", {"__rank": F.lit(1)})
+    ranked = ordered(cut, "piece-ranks", ["doc_id", "piece", "start", "ids_crc32"], "length", {"__rank": F.lit(1)})
     at = F.col("__rank") - 1
     return (
         ranked.join(F.broadcast(plan), (F.col("length") == F.col("__length")) & (at >= F.col("__from")) & (at < F.col("__to")))

@@ -70,7 +70,7 @@ def majority(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, fp): the fingerprint as a signed long; 0 for a null text. Each row by itself; no rows: no rows."""
 
     def run(batches):
         for batch in batches:
