@@ -19,10 +19,12 @@ def _near(edges: DataFrame) -> DataFrame:
 
 def friends_of_friends(edges: DataFrame, node: int) -> DataFrame:
     """(id, shared): nodes two steps from a node, either way, that are not its neighbours, and how many neighbours they
-    share with it. The node's own neighbours are filtered before they meet the edges again."""
-    near = _near(edges)
-    first = stored(near.where(F.col("src") == node).select(F.col("dst").alias("mid")), "friends")
-    second = near.join(first, near["src"] == first["mid"]).where(F.col("dst") != node)
+    share with it. Only edges at the node and at its neighbours are made different ones."""
+    own = _near(edges.where((F.col("src") == node) | (F.col("dst") == node)))
+    first = stored(own.where(F.col("src") == node).select(F.col("dst").alias("mid")), "friends")
+    e = edges.where("src <> dst").select("src", "dst")
+    both = e.unionByName(transpose(e))
+    second = both.join(first, both["src"] == first["mid"], "left_semi").where(F.col("dst") != node).distinct()
     return second.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("shared")).join(first, F.col("id") == F.col("mid"), "left_anti")
 
 

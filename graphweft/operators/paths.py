@@ -173,14 +173,14 @@ def manhattan(x: Column, y: Column, x2: Column, y2: Column) -> Column:
 def a_star(edges: DataFrame, origin: int, target: int, heuristic: DataFrame | None = None) -> DataFrame:
     """(step, node, dist): the way that A* finds. heuristic: (id, h); without it h is 0, which is Dijkstra's search.
 
-    The search is in order, so it runs in one task over the edges within reach of origin; those are found by distributed
-    rounds first. An h that overestimates may give a longer way, as in any A*. Negative weights and values of h that are
+    The search is in order, so it runs in one task over the edges that are nearer to origin than target is; those are found
+    by distributed rounds first, which follow no way that is as long as the best to target. An h that overestimates may give a longer way, as in any A*. Negative weights and values of h that are
     negative or not finite are errors.
     """
     _not_negative(edges)
     if heuristic is not None and (bad := heuristic.where("h is null or h < 0 or isnan(h) or h = double('Infinity')").first()):
         raise AlgorithmError("InvalidHeuristic", f"node {bad['id']}")
-    near = _relax(edges, origin, None, None).select("node")
+    near = _relax(edges, origin, target, None).select("node")
     own = edges.join(near, edges["src"] == near["node"], "left_semi").select("src", "dst", "w")
     if heuristic is not None:
         own = own.join(heuristic.select(F.col("id").alias("dst"), "h"), "dst", "left").fillna(0.0, ["h"])

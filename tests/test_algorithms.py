@@ -103,8 +103,8 @@ def test_a_star_between_random_points(spark):
 
 
 def test_johnson(spark):
-    height = [random.Random(6).uniform(0, 9) for _ in range(14)]
     r = random.Random(7)
+    height = [r.uniform(0, 9) for _ in range(14)]
     rows = [(a, b, height[b] - height[a] + r.uniform(0, 5)) for a, b in ((r.randrange(14), r.randrange(14)) for _ in range(40)) if a != b]
     assert min(w for _, _, w in rows) < 0
     e = edges_of(spark, rows)
