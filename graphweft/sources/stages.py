@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +32,24 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes the shuffle files of a query as soon as it has ended, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(writer: DataFrameWriter, spark: SparkSession, path: str) -> None:
+    """Writes a table. Nothing reads the shuffles behind it again, so they go at once."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """The rows, written and read again: later rounds start from a table, whatever executor is lost, and plans stay short."""
     path = _path(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    _write(df.write.partitionBy(*partition_by), df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -56,7 +70,7 @@ class Growing:
 
     def add(self, rows: DataFrame) -> None:
         self.schema = self.schema or rows.schema
-        rows.write.mode("append").option("compression", "zstd").parquet(self.path)
+        _write(rows.write.mode("append"), self.spark, self.path)
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
