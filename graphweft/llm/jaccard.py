@@ -25,6 +25,9 @@ STARS, SPOKES = 1, 4
 PARITIES = 512
 #: A pair is left out of a bucket if it has met in one of so many buckets before.
 BEFORE = 16
+#: Places of the filter that shingles of one set alone are left out by. It only saves moving them: what shares a place with a
+#: shingle of two sets passes, and beyond some 10^7 of those most do.
+PLACES = 1 << 25
 #: A bucket of more members is compared in blocks of about so many.
 BLOCK = 1024
 
@@ -38,21 +41,22 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def _classed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, cls, fp, bits, text): texts with one set of shingles have one cls; fp is the SimHash of the set, bits has
+    """(doc_id, cls, fp, n, bits, text): texts with one set of n shingles have one cls; fp is the SimHash of the set, bits has
     PARITIES parities of it."""
 
     def run(batches):
         for batch in batches:
-            cls, fp, bits = [], [], []
+            cls, fp, n, bits = [], [], [], []
             for x in batch.column("text"):
                 h = shingles(x.as_py(), words)
                 cls.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 fp.append(simhash.majority(h))
+                n.append(len(h))
                 bits.append(np.packbits((np.bincount((h % PARITIES).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64).tolist())
             whole = [pa.array(np.array(v, dtype=np.uint64).view(np.int64), pa.int64()) for v in (cls, fp)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *whole, pa.array(bits, pa.list_(pa.int64())), batch.column("text")], names=["doc_id", "cls", "fp", "bits", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *whole, pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64())), batch.column("text")], names=["doc_id", "cls", "fp", "n", "bits", "text"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, fp long, bits array<long>, text string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, fp long, n int, bits array<long>, text string")
 
 
 def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +75,22 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[by], n[by]
 
 
-def _prefixes(texts: DataFrame, words: int, least: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _places(shared: DataFrame) -> np.ndarray:
+    """A bit for each place that a shingle of `shared` (k) has, as 64-bit words; PLACES / 64 rows at most reach the driver."""
+    at = F.pmod("k", F.lit(PLACES))
+    words = shared.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(k, {PLACES}) & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(PLACES // 64, dtype=np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return out
+
+
+def _prefixes(texts: DataFrame, words: int, least: Fraction, frequent: tuple[np.ndarray, np.ndarray], places: np.ndarray | None = None) -> DataFrame:
     """(k, cls, n, at): the first shingles k of each set of n, at their places in an order that begins with rare ones. Two
-    sets of enough similarity share one of them."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    sets of enough similarity share one of them. places: only shingles that have one of them."""
+    shared = texts.sparkSession.sparkContext.broadcast((*frequent, places))
 
     def run(batches):
-        often, counts = shared.value
+        often, counts, known = shared.value
         for batch in batches:
             k, cls, n, at = [np.zeros(0, np.uint64)], [], [], []
             for c, text in {c: x for c, x in zip(batch.column("cls").to_pylist(), batch.column("text"))}.items():
@@ -87,10 +100,15 @@ def _prefixes(texts: DataFrame, words: int, least: Fraction, frequent: tuple[np.
                 place = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
                 rank = np.where(often[place] == h, counts[place], 0) if len(often) else np.zeros(len(h), np.int64)
                 size = len(h) - -(-least.numerator * len(h) // least.denominator) + 1
-                k.append(h[np.lexsort((h, rank))[:size]])
-                cls += [c] * size
-                n += [len(h)] * size
-                at += range(size)
+                first, place = h[np.lexsort((h, rank))[:size]], np.arange(size)
+                if known is not None:
+                    spot = first.view(np.int64) % PLACES  # not negative, as Spark's pmod
+                    kept = (known[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) != 0
+                    first, place = first[kept], place[kept]
+                k.append(first)
+                cls += [c] * len(first)
+                n += [len(h)] * len(first)
+                at += place.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k).view(np.int64), pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.int32())], names=["k", "cls", "n", "at"])
 
     return texts.select("cls", "text").mapInArrow(run, "k long, cls long, n int, at int")
@@ -150,22 +168,22 @@ def by_simhash(classes: DataFrame, limit: int = 4) -> DataFrame:
 
 
 def links(texts: DataFrame, classes: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(a, b): pairs of classes of `texts` (cls long, text), of which `classes` (cls, fp, bits) has each once, that connect
+    """(a, b): pairs of classes of `texts` (cls long, text), of which `classes` (cls, fp, n, bits) has each once, that connect
     just what pairs of a Jaccard similarity of at least `least` connect.
 
     The SimHash operator's links come first, each checked on whole sets. What they leave out, as 0.8 can mean far more
     differing bits than a chain of segments can hold, is found through prefixes: those of two similar sets meet in some
-    bucket under any order of shingles, and each pair of a bucket is checked on its whole sets unless its bounds forbid it
-    or it is connected. In the first rounds each bucket's members meet one of them alone; then all pairs of a bucket that
+    bucket under any order of shingles, and each pair of a bucket is checked on its whole sets unless its bounds or parities
+    forbid it or it is connected. In the first rounds each bucket's members meet one of them alone; then all pairs of a bucket that
     are not connected yet, in blocks where a bucket is large. No pair is left to chance.
     """
     part = Fraction(str(least))
     found = _verified(texts, stored(by_simhash(classes), "jaccard-pairs"), words, part)
-    first = stored(_prefixes(texts, words, part, _frequent(texts, words)), "jaccard-prefixes")
-    many = stored(first.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("k"), "jaccard-shared")
-    meeting = stored(first.join(many, "k", "left_semi"), "jaccard-meeting")
-    rows = stored(meeting.groupBy("k", "cls").agg(F.min("n").alias("n"), F.min("at").alias("at")), "jaccard-buckets")
-    forget(first, many, meeting)
+    frequent = _frequent(texts, words)
+    many = stored(_prefixes(texts, words, part, frequent).groupBy("k").count().where("count > 1").select("k"), "jaccard-shared")
+    first = _prefixes(texts, words, part, frequent, _places(many))
+    rows = stored(first.groupBy("k", "cls").agg(F.min("n").alias("n"), F.min("at").alias("at")), "jaccard-buckets")
+    forget(many)
     for turn in range(STARS + 1):
         root = components(found, "jaccard-components")
         now = stored(rows.join(root, rows["cls"] == root["node"], "left").select("k", "cls", "n", "at", F.coalesce("component", "cls").alias("c")), "jaccard-members")
@@ -173,16 +191,15 @@ def links(texts: DataFrame, classes: DataFrame, words: int = 5, least: float = 0
         if turn < STARS:
             met = now.alias("x").join(open_.select("k", "one.*").drop("h").alias("y"), "k")
         else:
-            blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-            live = stored(now.join(open_.select("k", "many"), "k"), "jaccard-live")
+            live = stored(now.join(open_.select("k", "many"), "k").withColumn("blocks", F.ceil(F.col("many") / BLOCK)), "jaccard-live")
             order = live.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("at", "k"))).alias("order")).select("cls", F.posexplode("order").alias("place", "e"), "order.k")
             place = F.greatest(F.col("place") - BEFORE, F.lit(0))
             order = order.select("cls", F.col("e.k").alias("of"), F.slice("k", place + 1, F.col("place") - place).alias("before"))
             ordered = stored(live.join(order.withColumnRenamed("of", "k"), ["cls", "k"]).join(classes.select("cls", "bits"), "cls"), "jaccard-ordered")
-            left = ordered.withColumn("i", F.pmod(F.xxhash64("cls"), blocks))
-            right = ordered.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+            left = ordered.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+            right = ordered.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             met = left.alias("x").join(right.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.cls") > F.col("y.cls")))
-            met = met.where((F.col("x.c") != F.col("y.c")) & _may("x", "y", part) & _may_by_bits("x", "y", part) & ~F.arrays_overlap("x.before", "y.before"))
+            met = met.where(_may_by_bits("x", "y", part) & ~F.arrays_overlap("x.before", "y.before"))
         pairs = met.where((F.col("x.c") != F.col("y.c")) & _may("x", "y", part)).select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
         found = found.unionByName(_verified(texts, stored(pairs, "jaccard-pairs"), words, part))
         forget(now, open_)
@@ -195,7 +212,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     reach, through any number of documents. Texts without words are alike. A null doc_id has its row too, but names no
     component unless all of a component's are null. Repeated rows: each has its own; no rows: no rows."""
     texts = stored(_classed(docs, words), "jaccard-texts")
-    classes = stored(texts.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "jaccard-classes")
+    classes = stored(texts.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-classes")
     root = components(links(texts, classes, words, least), "jaccard-components")
     named = stored(classes.join(root, classes["cls"] == root["node"], "left").select("cls", "first", F.coalesce("component", "cls").alias("component")), "jaccard-rooted")
     by = stored(named.groupBy("component").agg(F.min("first").alias("component_id")), "jaccard-first")
