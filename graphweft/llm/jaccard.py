@@ -157,6 +157,23 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, least: Fraction) -
     return good
 
 
+def _in_slices(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """_verified() over all pairs, some of them at a time: each pair takes a whole set to the other, so what is moved at once is
+    kept to half of what all sets are."""
+    whole = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    moved = pairs.join(classes.select(F.col("cls").alias("a"), "n"), "a").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    slices = max(1, -(-2 * moved // max(1, whole)))
+    if slices == 1:
+        return _verified(texts, pairs, words, least)
+    good = None
+    for i in range(slices):
+        part = stored(pairs.where(F.pmod(F.xxhash64("a"), F.lit(slices)) == i), "jaccard-slice")
+        now = _verified(texts, part, words, least)
+        good = now if good is None else good.unionByName(now)
+    forget(pairs)
+    return good
+
+
 def by_simhash(classes: DataFrame, limit: int = 4) -> DataFrame:
     """(a, b): pairs of classes (cls, fp) that connect just what fingerprints of at most `limit` differing bits connect, as
     simhash.links() finds them; classes of one fingerprint are paired with the first of them."""
@@ -178,7 +195,7 @@ def links(texts: DataFrame, classes: DataFrame, words: int = 5, least: float = 0
     are not connected yet, in blocks where a bucket is large. No pair is left to chance.
     """
     part = Fraction(str(least))
-    found = _verified(texts, stored(by_simhash(classes), "jaccard-pairs"), words, part)
+    found = _in_slices(texts, classes, stored(by_simhash(classes), "jaccard-pairs"), words, part)
     frequent = _frequent(texts, words)
     many = stored(_prefixes(texts, words, part, frequent).groupBy("k").count().where("count > 1").select("k"), "jaccard-shared")
     first = _prefixes(texts, words, part, frequent, _places(many))
@@ -201,7 +218,7 @@ def links(texts: DataFrame, classes: DataFrame, words: int = 5, least: float = 0
             met = left.alias("x").join(right.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.cls") > F.col("y.cls")))
             met = met.where(_may_by_bits("x", "y", part) & ~F.arrays_overlap("x.before", "y.before"))
         pairs = met.where((F.col("x.c") != F.col("y.c")) & _may("x", "y", part)).select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
-        found = found.unionByName(_verified(texts, stored(pairs, "jaccard-pairs"), words, part))
+        found = found.unionByName(_in_slices(texts, classes, stored(pairs, "jaccard-pairs"), words, part))
         forget(now, open_)
     forget(rows, live, ordered)
     return found
