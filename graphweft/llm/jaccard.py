@@ -28,6 +28,8 @@ BEFORE = 16
 #: Places of the filter that shingles of one set alone are left out by. It only saves moving them: what shares a place with a
 #: shingle of two sets passes, and beyond some 10^7 of those most do.
 PLACES = 1 << 25
+#: Rounds in which only the pairs that look most alike from each class are compared, as long as there are over twice as many.
+NEAREST = 4
 #: A bucket of more members is compared in blocks of about so many.
 BLOCK = 1024
 
@@ -40,23 +42,38 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))], dtype=np.uint64))
 
 
+def parities(h: np.ndarray, m: int) -> bytes:
+    """m parities of a set, m a power of two: bit i is whether an odd number of its hashes leave i. Halves of them XORed are
+    the parities of m / 2."""
+    return np.packbits((np.bincount((h % np.uint64(m)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many parities two sets differ, over as many as the shorter has: at least so many shingles are in one of them only."""
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _classed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, cls, fp, n, bits, text): texts with one set of n shingles have one cls; fp is the SimHash of the set, bits has
-    PARITIES parities of it."""
+    """(doc_id, cls, fp, n, bits, sketch, text): texts with one set of n shingles have one cls; fp is the SimHash of the set, bits
+    has PARITIES parities of it, sketch at least n and PARITIES."""
 
     def run(batches):
         for batch in batches:
-            cls, fp, n, bits = [], [], [], []
+            cls, fp, n, bits, sketch = [], [], [], [], []
             for x in batch.column("text"):
                 h = shingles(x.as_py(), words)
                 cls.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 fp.append(simhash.majority(h))
                 n.append(len(h))
-                bits.append(np.packbits((np.bincount((h % PARITIES).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64).tolist())
+                bits.append(np.frombuffer(parities(h, PARITIES), np.int64).tolist())
+                sketch.append(parities(h, max(PARITIES, 1 << max(0, len(h) - 1).bit_length())))
             whole = [pa.array(np.array(v, dtype=np.uint64).view(np.int64), pa.int64()) for v in (cls, fp)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *whole, pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64())), batch.column("text")], names=["doc_id", "cls", "fp", "n", "bits", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *whole, pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), batch.column("text")], names=["doc_id", "cls", "fp", "n", "bits", "sketch", "text"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, fp long, n int, bits array<long>, text string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, fp long, n int, bits array<long>, sketch binary, text string")
 
 
 def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +174,51 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, least: Fraction) -
     return good
 
 
+def _likely(classes: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b, far): the pairs (a, b) of classes whose sizes and sketches don't forbid enough similarity, and what share of their
+    shingles at least is in one of them only. A sketch has about a bit for each shingle, a 64th of the set, and leaves out nearly
+    all pairs of unlike sets however long they are."""
+
+    def check(batches):
+        for batch in batches:
+            far, good = [], []
+            for nx, ny, x, y in zip(*(batch.column(c).to_pylist() for c in ("nx", "ny", "x", "y"))):
+                apart = differing(x, y)
+                far.append(apart / max(1, nx + ny))
+                good.append(min(nx, ny) * least.denominator >= max(nx, ny) * least.numerator and apart * (least.numerator + least.denominator) <= (nx + ny) * (least.denominator - least.numerator))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far, pa.float64())], names=["a", "b", "far"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(classes.select(F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x")), "a")
+    both = both.join(classes.select(F.col("cls").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", "nx", "ny", "x", "y").mapInArrow(check, "a long, b long, far double")
+
+
+def _settled(texts: DataFrame, classes: DataFrame, linked: DataFrame | None, found: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """Pairs similar enough of those found, a stored table that goes, that connect with those linked before what all of them do.
+    Many classes that are about as like as needed make pairs by the square of their number, so those most alike come first, and
+    later rounds need no pair that the links so far connect."""
+    left = stored(_likely(classes, found, least), "jaccard-likely")
+    forget(found)
+    good = None
+    for _ in range(NEAREST):
+        of_a = left.groupBy("a").agg(F.min(F.struct("far", "b"))["b"].alias("b"))
+        of_b = left.groupBy("b").agg(F.min(F.struct("far", "a"))["a"].alias("a")).select("a", "b")
+        best = stored(of_a.unionByName(of_b).distinct(), "jaccard-nearest")
+        if left.count() <= 2 * best.count():
+            forget(best)
+            break
+        rest = stored(left.join(best, ["a", "b"], "left_anti"), "jaccard-rest")
+        forget(left)
+        now = _in_slices(texts, classes, best, words, least)
+        good = now if good is None else good.unionByName(now)
+        root = components(good if linked is None else linked.unionByName(good), "jaccard-components")
+        ends = rest.join(root.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        left = stored(ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "far"), "jaccard-likely")
+        forget(rest)
+    now = _in_slices(texts, classes, left, words, least)
+    return now if good is None else good.unionByName(now)
+
+
 def _in_slices(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, least: Fraction) -> DataFrame:
     """_verified() over all pairs, some of them at a time: each pair takes a whole set to the other, so what is moved at once is
     kept to half of what all sets are."""
@@ -176,26 +238,27 @@ def _in_slices(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: in
 
 def by_simhash(classes: DataFrame, limit: int = 4) -> DataFrame:
     """(a, b): pairs of classes (cls, fp) that connect just what fingerprints of at most `limit` differing bits connect, as
-    simhash.links() finds them; classes of one fingerprint are paired with the first of them."""
+    simhash.links() finds them, each once however many buckets give it; classes of one fingerprint are paired with the first of
+    them."""
     of = stored(classes.groupBy("fp").agg(F.min("cls").alias("one")), "jaccard-prints")
     alike = classes.join(of, "fp").where("cls <> one").select(F.col("cls").alias("a"), F.col("one").alias("b"))
     found = stored(simhash.links(of.select("fp"), limit), "jaccard-print-links")
     near = found.join(of.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
-    return alike.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return alike.unionByName(near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct()
 
 
 def links(texts: DataFrame, classes: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(a, b): pairs of classes of `texts` (cls long, text), of which `classes` (cls, fp, n, bits) has each once, that connect
+    """(a, b): pairs of classes of `texts` (cls long, text), of which `classes` (cls, fp, n, bits, sketch) has each once, that connect
     just what pairs of a Jaccard similarity of at least `least` connect.
 
     The SimHash operator's links come first, each checked on whole sets. What they leave out, as 0.8 can mean far more
     differing bits than a chain of segments can hold, is found through prefixes: those of two similar sets meet in some
-    bucket under any order of shingles, and each pair of a bucket is checked on its whole sets unless its bounds or parities
-    forbid it or it is connected. In the first rounds each bucket's members meet one of them alone; then all pairs of a bucket that
+    bucket under any order of shingles, and each pair of a bucket is checked on its whole sets unless its bounds, parities or
+    sketches forbid it or it is connected. In the first rounds each bucket's members meet one of them alone; then all pairs of a bucket that
     are not connected yet, in blocks where a bucket is large. No pair is left to chance.
     """
     part = Fraction(str(least))
-    found = _in_slices(texts, classes, stored(by_simhash(classes), "jaccard-pairs"), words, part)
+    found = _settled(texts, classes, None, stored(by_simhash(classes), "jaccard-pairs"), words, part)
     frequent = _frequent(texts, words)
     many = stored(_prefixes(texts, words, part, frequent).groupBy("k").count().where("count > 1").select("k"), "jaccard-shared")
     first = _prefixes(texts, words, part, frequent, _places(many))
@@ -218,7 +281,7 @@ def links(texts: DataFrame, classes: DataFrame, words: int = 5, least: float = 0
             met = left.alias("x").join(right.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.cls") > F.col("y.cls")))
             met = met.where(_may_by_bits("x", "y", part) & ~F.arrays_overlap("x.before", "y.before"))
         pairs = met.where((F.col("x.c") != F.col("y.c")) & _may("x", "y", part)).select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
-        found = found.unionByName(_in_slices(texts, classes, stored(pairs, "jaccard-pairs"), words, part))
+        found = found.unionByName(_settled(texts, classes, found, stored(pairs, "jaccard-pairs"), words, part))
         forget(now, open_)
     forget(rows, live, ordered)
     return found
@@ -229,7 +292,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     reach, through any number of documents. Texts without words are alike. A null doc_id has its row too, but names no
     component unless all of a component's are null. Repeated rows: each has its own; no rows: no rows."""
     texts = stored(_classed(docs, words), "jaccard-texts")
-    classes = stored(texts.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-classes")
+    classes = stored(texts.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")), "jaccard-classes")
     root = components(links(texts, classes, words, least), "jaccard-components")
     named = stored(classes.join(root, classes["cls"] == root["node"], "left").select("cls", "first", F.coalesce("component", "cls").alias("component")), "jaccard-rooted")
     by = stored(named.groupBy("component").agg(F.min("first").alias("component_id")), "jaccard-first")

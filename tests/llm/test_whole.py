@@ -57,6 +57,32 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch):
     assert {r["doc_id"] for r in jaccard.keep_one(frame).collect()} == want
 
 
+def test_pairs_compared_follow_the_documents(spark, monkeypatch):
+    """Sets are moved for few pairs of a large group about as like as needed, and for none of long texts that share words."""
+    rng = np.random.default_rng(4)
+    texts = edited(rng, 1, 150, 90)
+    long = rng.integers(0, 40, (12, 3000))  # so many shingles that 512 parities tell nothing
+    long[:, 5:60] = long[0, 5:60]
+    texts += [" ".join(f"v{x}" for x in row) for row in long]
+    text = dict(enumerate(texts))
+    compared = []
+    real = jaccard._in_slices
+    monkeypatch.setattr(jaccard, "_in_slices", lambda t, c, pairs, *rest: (compared.extend(pairs.select("a", "b").collect()), real(t, c, pairs, *rest))[1])
+    frame = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in jaccard.keep_one(frame).collect()} == plain_jaccard_kept(text)
+    n = {r["cls"]: r["n"] for r in jaccard._classed(frame, 5).collect()}
+    assert not [p for p in compared if n[p["a"]] > 2000]
+    assert len(compared) <= 4 * len(text)
+
+
+def test_parities_differ_in_no_more_than_the_shingles_of_one():
+    rng = np.random.default_rng(1)
+    both, x, y = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (700, 100, 600))
+    a, b = jaccard.parities(np.concatenate([both, x]), 1024), jaccard.parities(np.concatenate([both, y]), 2048)
+    assert jaccard.differing(a, a) == 0 and 300 < jaccard.differing(a, b) == jaccard.differing(b, a) <= 700
+    assert jaccard.differing(a, b) == jaccard.differing(a, jaccard.parities(np.concatenate([both, y]), 1024))
+
+
 def test_pipeline_drops_near_copies_of_some_words(spark):
     import corpus_pipeline
 
